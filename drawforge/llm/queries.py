@@ -7,15 +7,60 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import BALLS, MAX_BALL, NUM_CHANCE_MAX
+from ..functions.text import strip
 from ..session import cut
 from ..sources.tables import table
-from . import leakage, packing
+from . import leakage, packing, pairs, subjects
 from .tokens import token_counts
 
 #: The capacity for which p6_found asks which texts must be split.
 SPLIT_CAPACITY = 2048
 
 
+#: A pair is a case if at least this share of the draws has both balls, and so many times what chance gives.
+PAIR_SHARE_PERCENT, PAIR_TIMES = 2, 2
+
+
+def draw_baskets(draws: DataFrame) -> DataFrame:
+    """The balls of every valid draw as a basket: per trimmed key the valid row with the smallest draw_idx."""
+    balls = F.array(*BALLS)
+    valid = (
+        F.forall(balls, lambda b: b.isNotNull() & b.between(1, MAX_BALL))
+        & (F.size(F.array_distinct(balls)) == len(BALLS))
+        & F.col("numero_chance").between(1, NUM_CHANCE_MAX)
+    )
+    # six bits a ball: the aggregate keeps two numbers a key and needs no sort
+    code = sum((F.shiftleft(F.col(b).cast("long"), 6 * i) for i, b in enumerate(BALLS)), F.lit(0).cast("long"))
+    first = draws.filter(valid).groupBy(strip(F.col("annee_numero")).alias("key")).agg(F.min_by(code, "draw_idx").alias("code"))
+    items = F.array_sort(F.array(*[F.shiftright("code", 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(len(BALLS))]))
+    return first.filter("key is not null").select(
+        items.alias("items"), F.lit(None).cast("array<int>").alias("others"), F.lit(len(BALLS)).cast("long").alias("size")
+    )
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    found = pairs.pair_surprise(draw_baskets(table(spark, root, "draws")))
+    often = F.col("n_ab") * 100 >= PAIR_SHARE_PERCENT * F.col("n")
+    more = F.col("n") * F.col("n_ab") >= PAIR_TIMES * F.col("n_a") * F.col("n_b")
+    return found.filter(often & more).select(F.col("item_a").alias("ball_a"), F.col("item_b").alias("ball_b"))
+
+
+def p1_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Every pair of balls with its count, expectation and surprise."""
+    found = pairs.pair_surprise(draw_baskets(table(spark, root, "draws")))
+    rounded = [F.round(c, 6).alias(c) for c in ("expected", "ratio", "log_p", "log_q")]
+    return found.select(F.col("item_a").alias("ball_a"), F.col("item_b").alias("ball_b"), "n_ab", "n_a", "n_b", "n", *rounded)
+
+
+def p1_outlet_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Balls on the tickets of one draw and strategy, as baskets of any size; pairs that are no chance finds."""
+    tickets = table(spark, root, "tickets").filter("strategy is not null")
+    bought = tickets.select(F.concat_ws("|", F.col("draw_idx").cast("string"), "strategy").alias("basket"), F.col("ball").alias("item"))
+    found = pairs.pair_surprise(pairs.baskets_of(bought, "basket", "item"))
+    return found.filter(F.col("log_q") < F.ln(F.lit(0.01))).select("item_a", "item_b", "n_ab", F.round("ratio", 4).alias("ratio"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     sizes = token_counts(table(spark, root, "documents"))
     return packing.pack(sizes, SPLIT_CAPACITY).filter("n_pieces > 1").select("doc_id").distinct()
@@ -35,5 +80,18 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_packing, p7_found)}
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents")
+    rules = subjects.fit(documents, table(spark, root, "subject_labels"))
+    return subjects.assign(documents, rules).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, root: str) -> DataFrame:
+    """Documents and sentences of each subject in the corpus."""
+    documents = table(spark, root, "documents")
+    rules = subjects.fit(documents, table(spark, root, "subject_labels"))
+    return subjects.assign(documents, rules).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("n").alias("sentences"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_outlet_pairs, p6_found, p6_packing, p7_found, p8_found, p8_composition)}
 ORACLE: dict[str, str] = {}
