@@ -42,7 +42,8 @@ def split_delimited(line: Column, sep: str = ";") -> Column:
     very long, folded piece by piece, with the same result.
     """
     field = f'(?:"(?:[^"]++|"")*+"(?={sep}|$)|[^"{sep}][^{sep}]*+|(?={sep}|$))'
-    found = F.regexp_extract_all(line, F.lit(f"(?:^|{sep})({field})"), F.lit(1))
+    # a separator is put in front, or an empty first field would swallow the one behind it
+    found = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f"{sep}({field})"), F.lit(1))
     matched = F.when(
         line.rlike(f"^{field}(?:{sep}{field})*+$"),
         F.transform(found, lambda x: F.when(x.startswith('"'), unquote(x)).otherwise(x)),
