@@ -1,0 +1,34 @@
+"""Loading draws as they arrive: new rows of a growing folder go into a table, each key once."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from ..operators.views import first_valid
+
+
+def draw_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 64) -> DataFrame:
+    """Rows of the Parquet files that come into a folder."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
+def append_new(stream: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Starts a query that appends the first valid row of every key that `target` does not hold yet.
+
+    A batch that is run again after a failure finds its keys in the table and adds nothing.
+    """
+
+    def add(batch: DataFrame, _: int) -> None:
+        rows = first_valid(batch)
+        try:
+            known = batch.sparkSession.read.parquet(target).select("annee_numero")
+            rows = rows.join(known, "annee_numero", "left_anti")
+        except Exception as e:  # the first batch finds no table
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+        rows.write.mode("append").parquet(target)
+
+    writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
