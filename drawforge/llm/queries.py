@@ -53,12 +53,12 @@ def p1_pairs(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("item_a").alias("ball_a"), F.col("item_b").alias("ball_b"), "n_ab", "n_a", "n_b", "n", *rounded)
 
 
-def p1_outlet_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Balls on the tickets of one draw and strategy, as baskets of any size; pairs that are no chance finds."""
+def p1_ticket_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """The same for the balls on all tickets of one draw and strategy, which are baskets of any size."""
     tickets = table(spark, root, "tickets").filter("strategy is not null")
     bought = tickets.select(F.concat_ws("|", F.col("draw_idx").cast("string"), "strategy").alias("basket"), F.col("ball").alias("item"))
     found = pairs.pair_surprise(pairs.baskets_of(bought, "basket", "item"))
-    return found.filter(F.col("log_q") < F.ln(F.lit(0.01))).select("item_a", "item_b", "n_ab", F.round("ratio", 4).alias("ratio"))
+    return found.select("item_a", "item_b", "n_ab", F.round("ratio", 6).alias("ratio"), F.round("log_q", 6).alias("log_q"))
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
@@ -93,5 +93,22 @@ def p8_composition(spark: SparkSession, root: str) -> DataFrame:
     return subjects.assign(documents, rules).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("n").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_outlet_pairs, p6_found, p6_packing, p7_found, p8_found, p8_composition)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_ticket_pairs, p6_found, p6_packing, p7_found, p8_found, p8_composition)}
+
+_VALID = " and ".join(f"{b} between 1 and 49" for b in BALLS)
+_WORDS = "list_filter(string_split_regex(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_RUNS = "select {id}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) as run from (select {id}, {words} as w from {table})"
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"""
+    with v as (select draw_idx, trim(annee_numero) as k, [{", ".join(BALLS)}] as b from draws where {_VALID} and numero_chance between 1 and 10),
+    u as (select * from v where len(list_distinct(b)) = 5 qualify row_number() over (partition by k order by draw_idx) = 1),
+    o as (select k, unnest(b) as ball from u), f as (select ball, count(*) as n from o group by ball), t as (select count(*) as n from u),
+    p as (select x.ball as ball_a, y.ball as ball_b, count(*) as nab from o x join o y on x.k = y.k and x.ball < y.ball group by 1, 2)
+    select ball_a, ball_b from p join f fa on fa.ball = ball_a join f fb on fb.ball = ball_b cross join t
+    where nab * 100 >= 2 * t.n and t.n * nab >= 2 * fa.n * fb.n""",
+    "p7_found": f"""
+    with d as ({_RUNS.format(id="doc_id", words=_WORDS.format("text"), table="documents")}),
+    e as ({_RUNS.format(id="item_id", words=_WORDS.format("passage"), table="eval_items")})
+    select distinct doc_id, item_id from d join e using (run)""",
+}
