@@ -29,7 +29,7 @@ def _hit(k: int) -> float:
 
 
 #: Hypergeometric probabilities of "5 + chance", 5, 4, 3, "2 + chance", 2, "1 + chance", 1, "0 + chance".
-INTENDED_ODDS = [_hit(5) / 10, _hit(5) * 0.9, _hit(4), _hit(3) * 0.9, _hit(2) / 10, _hit(2) * 0.9, _hit(1) / 10, _hit(1) * 0.9, _hit(0) / 10]
+INTENDED_ODDS = [_hit(5) / 10, _hit(5) * 0.9, _hit(4) * 0.9, _hit(3) * 0.9, _hit(2) / 10, _hit(2) * 0.9, _hit(1) / 10, _hit(1) * 0.9, _hit(0) / 10]
 
 
 def odds(spark, mode: str = "observed") -> DataFrame:
