@@ -85,3 +85,14 @@ def test_profile_matches_counts(spark):
     assert (got[1, "boule_1"].rows, got[1, "boule_1"].nulls, got[1, "boule_1"].n_distinct) == (2, 0, 1)
     assert got[1, "date_tirage"].nulls == 1 and got[1, "numero_chance"].nulls == 1
     assert got[2, "boule_1"].before == 1 and got[2, "boule_1"].moved == 0 and got[1, "boule_1"].before is None
+
+
+def test_clashing_and_repeated_columns(spark):
+    t = rows_of(spark, {1: [(1, 1, "12/06/1999", 5.0)] * 2, 2: [(50, 1, "12/06/1999", 5.0)]})
+    t = t.selectExpr("*", "1 as load", "'x' as value", "2 as n", "'y' as field", "3 as `class`", "4 as before")
+    p = profile.profile_loads(t, "load_no", ["boule_1", "value", "n"])
+    got = {(r.load, r.field): (r.rows, r.n_distinct, r.outside) for r in p.collect()}
+    assert got[2, "boule_1"] == (1, 1, 1) and got[1, "value"] == (2, 1, 0) and got[1, "n"] == (2, 1, 0)
+    draws = spark.createDataFrame([(1, 100.0, None, "ct", "z", 1), (2, float("nan"), 6.55957, "FRF", "z", 1), (3, None, -1.0, None, "z", 1)], "id long, rapport_rang1 double, rapport_rang2 double, devise string, unit string, rang int")
+    assert sorted((r.row_id, r.rang, r.unit, r.cents) for r in units.draw_figures(draws).collect()) == [(1, 1, "cEUR", 100), (2, 2, "FRF", 100)]
+    assert units.draw_figures(draws.limit(0)).count() == 0
