@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` by the hash of `key` in as many partitions as a shuffle has: little data with much work for each row
+    would else be merged into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds `name` = 0-based position of each row in the total order `order`.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ordering import spread
 from ..schema import BALLS, MAX_BALL
 from .frequency import ball_domain
 from .views import by_blocks, occurrences
@@ -53,7 +54,7 @@ def acf(ordered: DataFrame, max_lags: int = 50) -> DataFrame:
         return pd.DataFrame(out, columns=["ball", "lag", "c"])
 
     blocks = by_blocks(sets, max_lags, 4096)
-    common = blocks.groupBy("block").applyInPandas(pairs, "ball int, lag int, c long").groupBy("ball", "lag").agg(F.sum("c").alias("c"))
+    common = spread(blocks, "block").groupBy("block").applyInPandas(pairs, "ball int, lag int, c long").groupBy("ball", "lag").agg(F.sum("c").alias("c"))
     per = hits.groupBy("ball").agg(F.count("*").alias("h"))
     n = _length(ordered)
     lags = ordered.sparkSession.range(max_lags).select(F.col("id").cast("int").alias("lag"))
@@ -102,7 +103,7 @@ def dft_peaks(ordered: DataFrame, longest: int | None = None, top: int = 5) -> D
             {"ball": frame["ball"].iloc[0], "k": order, "period": np.rint(n / order).astype(int), "magnitude": mag[order], "rank": np.arange(1, len(order) + 1)}
         )
 
-    return hits.groupBy("ball").applyInPandas(peaks, "ball int, k long, period long, magnitude double, rank long")
+    return spread(hits, "ball").groupBy("ball").applyInPandas(peaks, "ball int, k long, period long, magnitude double, rank long")
 
 
 def summary(ordered: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import global_index
+from ..functions.ordering import global_index, spread
 from ..schema import BALLS, MAX_BALL, NUM_CHANCE_MAX
 
 #: Draws of one block of a trailing window; at least the longest window.
@@ -107,4 +107,4 @@ def over_blocks(ordered: DataFrame, halo: int, kernel: Callable[[Trailing], pd.D
     # a block made of the halo alone has no draw of its own
     last = ordered.agg(F.max("di").alias("_max"))
     blocks = blocks.join(F.broadcast(last), F.col("block") * width <= F.col("_max")).drop("_max")
-    return blocks.groupBy("block").applyInPandas(run, schema)
+    return spread(blocks, "block").groupBy("block").applyInPandas(run, schema)
