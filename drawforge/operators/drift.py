@@ -2,8 +2,9 @@
 
 Rescue-column ingestion. `enforce` types the cells that the layout knows under their own name and keeps every other
 cell, and every cell that cannot be cast, as JSON in `_rescued`; `promote` replays rescued values under approved
-names into the typed columns. The change report reads the same cells: what each file's fields were accepted or
-rescued as, compared with the preceding file of its family.
+names into the typed columns. The change report is made from what `enforce` gives: the cells that were accepted under
+a name of the layout and those that were rescued, with the field that each name is promoted to, compared with the
+preceding file of its family.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import field_of
 from ..functions.ordering import previous_by_blocks
 from ..functions.text import strip
 from ..schema import APPROVED, LAYOUT
@@ -43,60 +45,73 @@ def lenient(value: Column, kind: str) -> Column:
     return F.coalesce(cast_to(value, kind), cast_to(strip(lead), kind))
 
 
-def enforce(clean: DataFrame) -> DataFrame:
+def cell_keys(names: Column) -> Column:
+    """The names of a header made unique: one that comes again, or has a "#" itself, gets its place added."""
+    return F.transform(
+        names,
+        lambda n, i: F.when((F.array_position(names, n) == i + 1) & ~n.contains("#"), n).otherwise(F.concat_ws("#", n, (i + 1).cast("string"))),
+    )
+
+
+def enforce(clean: DataFrame, written: bool = False) -> DataFrame:
     """Clean rows in the layout of `tirages`, each column typed, with the rest of the cells in `_rescued`.
 
     Only exact names of the layout are accepted here. `_rescued` is a JSON object of name -> text of all non-empty
     cells with an unknown name or a value that cannot be cast; null where there are none. A name that comes again
-    in a header is unknown there, with its place added to the name.
+    in a header is unknown there, with its place added to the name. With `written` a column `_written` tells of every
+    cell that was accepted its name and how it was written, as (key, kind) of `kind_of`.
     """
     layout = F.array(*[F.lit(n) for n in LAYOUT])
-    repeated = F.transform(
-        "names",
-        lambda n, i: F.when(F.array_position("names", n) == i + 1, n).otherwise(F.concat_ws("#", n, i + 1)),
-    )
-    df = clean.withColumn("_names", repeated)
-    df = df.withColumn(
-        "_other",
-        F.filter(
-            F.zip_with("_names", "cells", lambda n, v: F.struct(n.alias("key"), v.alias("value"))),
-            lambda p: (p["value"] != "") & ~F.array_contains(layout, p["key"]),
-        ),
-    )
-    at = [F.get("cells", F.nullif(F.array_position("_names", F.lit(n)), F.lit(0)).cast("int") - 1) for n in LAYOUT]
-    df = df.select("file_no", "row_no", "_other", *[c.alias(f"_v_{n}") for c, n in zip(at, LAYOUT)])
+    df = clean.withColumn("_keys", cell_keys(F.col("names")))
+    df = df.withColumn("_cells", F.filter(F.zip_with("_keys", "cells", lambda n, v: F.struct(n.alias("key"), v.alias("value"))), lambda p: p["value"] != ""))
+    at = [F.get("cells", F.nullif(F.array_position("_keys", F.lit(n)), F.lit(0)).cast("int") - 1) for n in LAYOUT]
+    df = df.select("file_no", "row_no", "_cells", *[c.alias(f"_v_{n}") for c, n in zip(at, LAYOUT)])
     typed = [cast_to(F.col(f"_v_{n}"), kind).alias(col) for n, (col, kind) in LAYOUT.items()]
-    df = df.select("file_no", "row_no", "_other", *typed, *[f"_v_{n}" for n, (_, k) in LAYOUT.items() if k != "string"])
-    uncast = [
-        F.when((F.col(f"_v_{n}") != "") & F.col(col).isNull(), F.struct(F.lit(n).alias("key"), F.col(f"_v_{n}").alias("value")))
-        for n, (col, kind) in LAYOUT.items()
-        if kind != "string"
-    ]
-    rest = F.concat("_other", F.array_compact(F.array(*uncast)))
-    return df.withColumn("_rest", rest).select(
+    df = df.select("file_no", "row_no", "_cells", *typed)
+    taken = F.array_compact(F.array(*[F.when(F.col(col).isNotNull(), F.lit(n)) for n, (col, _) in LAYOUT.items()]))
+    df = df.withColumn("_taken", taken)
+    unknown = F.filter("_cells", lambda p: ~F.array_contains(layout, p["key"]))
+    uncast = F.filter("_cells", lambda p: F.array_contains(layout, p["key"]) & ~F.array_contains("_taken", p["key"]))
+    accepted = F.filter("_cells", lambda p: F.array_contains("_taken", p["key"]))
+    kinds = F.transform(accepted, lambda p: F.struct(p["key"].alias("key"), kind_of(p["value"]).alias("kind")))
+    df = df.withColumn("_rest", F.concat(unknown, uncast))
+    return df.select(
         "file_no",
         "row_no",
         *[col for col, _ in LAYOUT.values()],
         F.when(F.size("_rest") > 0, F.to_json(F.map_from_entries("_rest"))).alias(RESCUED),
+        *([kinds.alias("_written")] if written else []),
     )
 
 
+def _best(others: str, name: str, kind: str) -> Column:
+    """Of `others`(field, key, value) the first that stands for `name` and can be cast; that of the name itself first."""
+    here = F.filter(others, lambda e: (e["field"] == name) & lenient(e["value"], kind).isNotNull())
+    own = F.filter(here, lambda e: e["key"] == name)
+    return F.coalesce(F.get(own, F.lit(0)), F.get(here, F.lit(0)))
+
+
 def promote(table: DataFrame, approved: dict[str, list[str]] | None = None) -> DataFrame:
     """Replays rescued values into the typed columns they are approved for.
 
-    A column that is still null takes the first castable value among its own and its approved names, numbers in
-    text included; what was taken leaves `_rescued`. Columns that hold a value keep it.
+    A column that is still null takes the first castable value of its own name, else of the names that stand for it
+    (approved ones and those of the same words), in the order of the file; numbers in text included. What was taken
+    leaves `_rescued`. Columns that hold a value keep it; names with a place added are never replayed.
     """
     approved = APPROVED if approved is None else approved
     df = table.withColumn("_r", F.from_json(RESCUED, "map<string,string>"))
+    others = F.filter(F.map_entries("_r"), lambda e: ~e["key"].contains("#"))
+    df = df.withColumn(
+        "_o", F.transform(others, lambda e: F.struct(field_of(e["key"], approved).alias("field"), e["key"].alias("key"), e["value"].alias("value")))
+    )
     values, taken = [], []
     for name, (col, kind) in LAYOUT.items():
-        names = [name, *approved.get(name, [])]
-        tries = [lenient(F.col("_r")[n], kind) for n in names]
-        values.append(F.coalesce(col, *tries).alias(col))
-        first = F.when(F.col(col).isNull(), F.coalesce(*[F.when(t.isNotNull(), F.lit(n)) for n, t in zip(names, tries)]))
-        taken.append(first)
-    df = df.withColumn("_taken", F.filter(F.array(*taken), lambda n: n.isNotNull()))
+        best = _best("_o", name, kind)
+        # most rows have nothing rescued: they keep their value without a search
+        df = df.withColumn(f"_b_{col}", F.when(F.col(col).isNull() & F.col("_r").isNotNull(), best))
+        values.append(F.coalesce(col, lenient(F.col(f"_b_{col}")["value"], kind)).alias(col))
+        taken.append(F.col(f"_b_{col}")["key"])
+    df = df.withColumn("_taken", F.array_compact(F.array(*taken)))
     left = F.map_filter("_r", lambda n, v: ~F.array_contains(F.col("_taken"), n))
     return df.select("file_no", "row_no", *values, F.when(F.size(left) > 0, F.to_json(left)).alias(RESCUED))
 
@@ -117,39 +132,46 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def written_kinds(table: DataFrame) -> DataFrame:
+    """(file_no, key, n, integer, decimal, date): how the cells of `enforce(written=True)` were written, accepted and
+    rescued ones alike, counted for every file and name."""
+    rescued = F.transform(
+        F.map_entries(F.from_json(RESCUED, "map<string,string>")),
+        lambda e: F.struct(e["key"].alias("key"), kind_of(e["value"]).alias("kind")),
+    )
+    none = F.array().cast("array<struct<key:string,kind:string>>")
+    cells = table.select("file_no", F.explode(F.concat("_written", F.coalesce(rescued, none))).alias("c"))
+    cells = cells.select("file_no", "c.key", "c.kind")
+    return cells.groupBy("file_no", "key").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("integer", "decimal", "date")]
+    )
+
+
 def file_fields(lines: DataFrame) -> DataFrame:
     """(file_no, field, name, kind): the fields of every file that has a header.
 
-    `field` is what the name stands for by the approved names; a second name for a field that the file already has
-    is a field of its own, and a name that comes twice counts once. An empty last name is no field. `kind` is the
-    type of at least TYPE_SHARE of the non-empty values in loadable rows, else text; null if there are no values.
+    `field` is what the name is promoted to; a second name for a field that the file already has is a field of its
+    own, and a name that comes twice counts once. An empty last name is no field. `kind` is the type of at least
+    TYPE_SHARE of the non-empty values in loadable rows, else text; null if there are no values.
     """
-    headers = parse_headers(lines)
-    named = F.transform(
-        F.zip_with("names", "meant", lambda n, m: F.struct(n.alias("name"), m.alias("field"))),
-        lambda p, i: F.struct(p["name"].alias("name"), p["field"].alias("field"), i.alias("pos")),
-    )
-    fields = headers.select("file_no", "n_names", "names", "meant", F.explode(named).alias("f")).select(
+    headers = parse_headers(lines).withColumn("keys", cell_keys(F.col("names")))
+    named = F.arrays_zip("names", "keys", "meant")
+    fields = headers.select("file_no", "n_names", "names", "meant", F.posexplode(named).alias("pos", "f")).select(
         "file_no",
-        "f.name",
-        "f.pos",
-        F.when(F.array_position("meant", F.col("f.field")) == F.col("f.pos") + 1, F.col("f.field"))
-        .otherwise(F.col("f.name"))
+        F.col("f.names").alias("name"),
+        F.col("f.keys").alias("key"),
+        F.when(F.array_position("meant", F.col("f.meant")) == F.col("pos") + 1, F.col("f.meant"))
+        .otherwise(F.col("f.names"))
         .alias("field"),
-        ((F.col("f.name") == "") & (F.col("f.pos") + 1 == F.col("n_names"))).alias("_none"),
-        (F.array_position("names", F.col("f.name")) == F.col("f.pos") + 1).alias("_first"),
+        ((F.col("f.names") == "") & (F.col("pos") + 1 == F.col("n_names"))).alias("_none"),
+        (F.array_position("names", F.col("f.names")) == F.col("pos") + 1).alias("_first"),
     )
     fields = fields.filter(~F.col("_none") & F.col("_first")).drop("_none", "_first")
-    clean, _ = separate(lines)
-    cells = clean.select("file_no", F.posexplode("cells").alias("pos", "value")).filter(F.col("value") != "")
-    kinds = cells.groupBy("file_no", "pos").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(kind_of(F.col("value")) == k).alias(k) for k in ("integer", "decimal", "date")],
-    )
+    kinds = written_kinds(enforce(separate(lines)[0], written=True))
     kind = F.when(F.col("n").isNull(), None)
     for k in ("integer", "decimal", "date"):
         kind = kind.when(F.col(k) >= TYPE_SHARE * F.col("n"), k)
-    return fields.join(kinds, ["file_no", "pos"], "left").select(
+    return fields.join(kinds, ["file_no", "key"], "left").select(
         "file_no", "field", "name", kind.otherwise("text").alias("kind")
     )
 

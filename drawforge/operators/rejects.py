@@ -78,17 +78,22 @@ def parse_headers(lines: DataFrame) -> DataFrame:
     return one.select("file_no", "names", "meant", F.size("names").alias("n_names"), ruled.alias("ruled"))
 
 
-def parse_rows(lines: DataFrame) -> DataFrame:
-    """Lines that are rows (row_no > 0, not blank), split and joined to their file's header.
+def split_rows(lines: DataFrame) -> DataFrame:
+    """(file_no, row_no, cells) of the lines that are rows (row_no > 0, not blank).
 
-    Columns: file_no, row_no, cells (trimmed values; null where quoting is broken), names, meant, n_names, ruled.
+    `cells` are the trimmed values; null where quoting is broken.
     """
     rows = lines.filter((F.col("row_no") > 0) & ~blank(F.col("line"))).select(
         "file_no", "row_no", chomp(F.col("line")).alias("line")
     )
     parsed = rows.withColumn("_cells", split_delimited(F.col("line")))
     cells = F.transform(without_last_empty(F.col("line"), F.col("_cells")), strip)
-    return parsed.select("file_no", "row_no", cells.alias("cells")).join(parse_headers(lines), "file_no", "left")
+    return parsed.select("file_no", "row_no", cells.alias("cells"))
+
+
+def parse_rows(lines: DataFrame) -> DataFrame:
+    """`split_rows` joined to their file's header: file_no, row_no, cells, names, meant, n_names, ruled."""
+    return split_rows(lines).join(parse_headers(lines), "file_no", "left")
 
 
 def line_errors(rows: DataFrame) -> DataFrame:
@@ -138,6 +143,7 @@ def separate(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     are no rows; an empty table gives two empty ones; other columns of `lines` are left out, whatever their names.
     (file_no, row_no) names a line: lines under one name are all rejected where one of them is.
     """
-    rows = parse_rows(lines)
-    rejects = rejects_of(rows)
-    return rows.join(rejects.select(*ROW), ROW, "left_anti"), rejects
+    rejects = rejects_of(parse_rows(lines))
+    # headers are joined last, so that the shuffle of the anti-join does not carry them with every row
+    clean = split_rows(lines).join(rejects.select(*ROW), ROW, "left_anti")
+    return clean.join(parse_headers(lines), "file_no", "left"), rejects

@@ -103,3 +103,23 @@ def test_changes(spark):
         (5, "y", "added"),
         (9, "nb_codes", "renamed"),
     ]
+
+
+def test_names_of_same_words_and_with_marks(spark):
+    head = "annee_numero_de_tirage;boule_1;Nbre_Codes_Gagnants;a;a;a#2;gagnants_rang;gagnants_rang"
+    lines = lines_of(spark, {1: [head, "19990000012;7;4;x;y;z;1;2"], 2: [head, "19990000013;7;;;;;;;"]})
+    raw = {r.file_no: r for r in drift.enforce(rejects.separate(lines)[0], written=True).collect()}
+    assert {tuple(x) for x in raw[1]._written} == {("annee_numero_de_tirage", "integer"), ("boule_1", "integer")}
+    assert raw[2]._rescued is None
+    table = {r.file_no: r for r in drift.ingest(lines).collect()}
+    assert table[1].nombre_codes == 4 and table[2].nombre_codes is None
+    assert json.loads(table[1]._rescued) == {"a": "x", "a#5": "y", "a#2#6": "z", "gagnants_rang": "1", "gagnants_rang#8": "2"}
+    fields = {(r.name, r.field, r.kind) for r in drift.file_fields(lines).filter("file_no = 1").collect()}
+    assert fields == {
+        ("annee_numero_de_tirage", "annee_numero_de_tirage", "integer"),
+        ("boule_1", "boule_1", "integer"),
+        ("nbre_codes_gagnants", "nombre_de_codes_gagnants", "integer"),
+        ("a", "a", "text"),
+        ("a#2", "a#2", "text"),
+        ("gagnants_rang", "gagnants_rang", "integer"),
+    }
