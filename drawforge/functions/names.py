@@ -56,3 +56,11 @@ def field_of(name: Column, approved: dict[str, list[str]] | None = None) -> Colu
     """
     exact, keys = _dictionary(APPROVED if approved is None else approved)
     return F.coalesce(_lookup(exact, name), _lookup(keys, column_key(name)), name)
+
+
+def cell_keys(names: Column) -> Column:
+    """The names of a header made unique: one that comes again, or has a "#" itself, gets its place added."""
+    return F.transform(
+        names,
+        lambda n, i: F.when((F.array_position(names, n) == i + 1) & ~n.contains("#"), n).otherwise(F.concat_ws("#", n, (i + 1).cast("string"))),
+    )

@@ -30,11 +30,13 @@ def cast_to(value: Column, kind: str) -> Column:
     """
     if kind == "string":
         return F.when(value != "", value)
+    digits = value.rlike("^[0-9]{1,9}$")
     plain = F.translate(F.regexp_replace(value, "(?<=[0-9])[ \\u00a0\\u202f](?=[0-9]{3}([^0-9]|$))", ""), ",", ".")
     whole = F.regexp_replace(plain, "\\.0+$", "")
+    # most values are plain digits, which need no cleaning
     if kind == "double":
-        return F.when(plain.rlike("^[+-]?[0-9]+([.][0-9]+)?$"), plain.try_cast("double"))
-    return F.when(whole.rlike("^[+-]?[0-9]+$"), whole.try_cast(kind))
+        return F.when(digits, value.try_cast("double")).when(plain.rlike("^[+-]?[0-9]+([.][0-9]+)?$"), plain.try_cast("double"))
+    return F.when(digits, value.try_cast(kind)).when(whole.rlike("^[+-]?[0-9]+$"), whole.try_cast(kind))
 
 
 def lenient(value: Column, kind: str) -> Column:
@@ -45,14 +47,6 @@ def lenient(value: Column, kind: str) -> Column:
     return F.coalesce(cast_to(value, kind), cast_to(strip(lead), kind))
 
 
-def cell_keys(names: Column) -> Column:
-    """The names of a header made unique: one that comes again, or has a "#" itself, gets its place added."""
-    return F.transform(
-        names,
-        lambda n, i: F.when((F.array_position(names, n) == i + 1) & ~n.contains("#"), n).otherwise(F.concat_ws("#", n, (i + 1).cast("string"))),
-    )
-
-
 def enforce(clean: DataFrame, written: bool = False) -> DataFrame:
     """Clean rows in the layout of `tirages`, each column typed, with the rest of the cells in `_rescued`.
 
@@ -61,20 +55,19 @@ def enforce(clean: DataFrame, written: bool = False) -> DataFrame:
     in a header is unknown there, with its place added to the name. With `written` a column `_written` tells of every
     cell that was accepted its name and how it was written, as (key, kind) of `kind_of`.
     """
-    layout = F.array(*[F.lit(n) for n in LAYOUT])
-    df = clean.withColumn("_keys", cell_keys(F.col("names")))
-    df = df.withColumn("_cells", F.filter(F.zip_with("_keys", "cells", lambda n, v: F.struct(n.alias("key"), v.alias("value"))), lambda p: p["value"] != ""))
-    at = [F.get("cells", F.nullif(F.array_position("_keys", F.lit(n)), F.lit(0)).cast("int") - 1) for n in LAYOUT]
-    df = df.select("file_no", "row_no", "_cells", *[c.alias(f"_v_{n}") for c, n in zip(at, LAYOUT)])
+    cells = F.transform(
+        "cells", lambda v, i: F.struct(F.get("keys", i).alias("key"), v.alias("value"), (F.get("layout_no", i) - 1).alias("at"))
+    )
+    df = clean.withColumn("_cells", F.filter(cells, lambda p: p["value"] != ""))
+    values = [F.get("cells", F.get("places", F.lit(i)) - 1).alias(f"_v_{n}") for i, n in enumerate(LAYOUT)]
+    df = df.select("file_no", "row_no", "_cells", *values)
     typed = [cast_to(F.col(f"_v_{n}"), kind).alias(col) for n, (col, kind) in LAYOUT.items()]
     df = df.select("file_no", "row_no", "_cells", *typed)
-    taken = F.array_compact(F.array(*[F.when(F.col(col).isNotNull(), F.lit(n)) for n, (col, _) in LAYOUT.items()]))
-    df = df.withColumn("_taken", taken)
-    unknown = F.filter("_cells", lambda p: ~F.array_contains(layout, p["key"]))
-    uncast = F.filter("_cells", lambda p: F.array_contains(layout, p["key"]) & ~F.array_contains("_taken", p["key"]))
-    accepted = F.filter("_cells", lambda p: F.array_contains("_taken", p["key"]))
-    kinds = F.transform(accepted, lambda p: F.struct(p["key"].alias("key"), kind_of(p["value"]).alias("kind")))
-    df = df.withColumn("_rest", F.concat(unknown, uncast))
+    df = df.withColumn("_taken", F.array(*[F.col(col).isNotNull() for col, _ in LAYOUT.values()]))
+    taken = lambda p: F.coalesce(F.get("_taken", p["at"]), F.lit(False))
+    kinds = F.transform(F.filter("_cells", taken), lambda p: F.struct(p["key"].alias("key"), kind_of(p["value"]).alias("kind")))
+    rest = F.transform(F.filter("_cells", lambda p: ~taken(p)), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
+    df = df.withColumn("_rest", rest)
     return df.select(
         "file_no",
         "row_no",
@@ -154,7 +147,7 @@ def file_fields(lines: DataFrame) -> DataFrame:
     own, and a name that comes twice counts once. An empty last name is no field. `kind` is the type of at least
     TYPE_SHARE of the non-empty values in loadable rows, else text; null if there are no values.
     """
-    headers = parse_headers(lines).withColumn("keys", cell_keys(F.col("names")))
+    headers = parse_headers(lines)
     named = F.arrays_zip("names", "keys", "meant")
     fields = headers.select("file_no", "n_names", "names", "meant", F.posexplode(named).alias("pos", "f")).select(
         "file_no",

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import clean_name, field_of
+from ..functions.names import cell_keys, clean_name, field_of
 from ..functions.text import blank, chomp, real_date, split_delimited, strip, without_last_empty
-from ..schema import BALLS, MAX_BALL, NUM_CHANCE_MAX
+from ..schema import BALLS, LAYOUT, MAX_BALL, NUM_CHANCE_MAX
 
 ROW = ["file_no", "row_no"]
 #: Reasons in the order in which they apply.
@@ -58,7 +58,9 @@ def fails(value: Column, check: Column, low: Column, high: Column) -> Column:
 
 def parse_headers(lines: DataFrame) -> DataFrame:
     """One row per file that has lines: file_no, names (cleaned), meant (the fields they stand for), n_names and
-    ruled: (column, place) of the columns that have a rule, place null for a required one that the file lacks.
+    ruled: (column, place) of the columns that have a rule, place null for a required one that the file lacks. Further
+    keys (the names made unique), layout_no (the number of each key in the layout, 0 for none) and places (the place
+    of each field of the layout, null for none), so that this is worked out once a file and not once a row.
 
     The header is the line with row_no 0; where it comes more than once the smallest text counts. A header whose
     quoting is broken is split at every separator. Of two columns with one meaning the first has the rule.
@@ -75,7 +77,20 @@ def parse_headers(lines: DataFrame) -> DataFrame:
         if r[0] != ALL_BALLS
     ]
     ruled = F.filter(F.array(*places), lambda p: p["place"].isNotNull() | p["must"])
-    return one.select("file_no", "names", "meant", F.size("names").alias("n_names"), ruled.alias("ruled"))
+    one = one.withColumn("keys", cell_keys(F.col("names")))
+    layout = F.array(*[F.lit(n) for n in LAYOUT])
+    layout_no = F.transform("keys", lambda k: F.array_position(layout, k).cast("int"))
+    at = F.transform(layout, lambda n: F.nullif(F.array_position("keys", n), F.lit(0)).cast("int"))
+    return one.select(
+        "file_no",
+        "names",
+        "meant",
+        F.size("names").alias("n_names"),
+        ruled.alias("ruled"),
+        "keys",
+        layout_no.alias("layout_no"),
+        at.alias("places"),
+    )
 
 
 def split_rows(lines: DataFrame) -> DataFrame:
