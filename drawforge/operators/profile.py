@@ -52,9 +52,9 @@ def value_counts(table: DataFrame, load: str, fields: list[str]) -> DataFrame:
 
 
 def shape(value: Column) -> Column:
-    """Coarse form of a text: runs of digits, letters and blanks as one sign each, at most 12 signs."""
+    """Coarse form of a whole text: runs of digits, letters and blanks as one sign each."""
     signs = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "\\p{L}+", "a")
-    return F.substring(F.regexp_replace(signs, "\\s+", " "), 1, 12)
+    return F.regexp_replace(signs, "\\s+", " ")
 
 
 def magnitude(number: Column) -> Column:

@@ -87,6 +87,15 @@ def test_profile_matches_counts(spark):
     assert got[2, "boule_1"].before == 1 and got[2, "boule_1"].moved == 0 and got[1, "boule_1"].before is None
 
 
+def test_class_of_a_text_is_its_whole_shape(spark):
+    codes = ["P 2124 2283", "F 3637 1035", "Y 5565 2290", "A 1111 2222", "B 3333 4444"]
+    loads = {1: [",".join(codes[:3])] * 4, 2: [",".join(codes)] * 4, 3: [",".join(codes)] * 2 + [",".join(codes)[:-1] + "?"] * 2}
+    t = spark.createDataFrame([(n, v) for n, vs in loads.items() for v in vs], "load_no int, codes_gagnants string")
+    got = {r.load: r for r in profile.profile_loads(t, "load_no", ["codes_gagnants"]).collect()}
+    assert got[2].moved == 1 and got[2].psi > 0 and got[2].chi2 == 8
+    assert got[3].moved == 0.5 and got[3].psi > 0
+
+
 def test_clashing_and_repeated_columns(spark):
     t = rows_of(spark, {1: [(1, 1, "12/06/1999", 5.0)] * 2, 2: [(50, 1, "12/06/1999", 5.0)]})
     t = t.selectExpr("*", "1 as load", "'x' as value", "2 as n", "'y' as field", "3 as `class`", "4 as before")
