@@ -2,7 +2,8 @@
 
 Columns are unpivoted into (load, field, value) and counted exactly; everything else - null rates, distinct counts,
 ranges, pattern violations, class shares, chi-square and population stability index - is an aggregate of those
-counts, so the rows themselves are shuffled once, pre-aggregated.
+counts, so the rows themselves are read and shuffled once, pre-aggregated. What is read more than once are the
+counts by class, which are checkpointed.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import previous_by_blocks
 from ..functions.text import real_date, strip
+from ..session import cut
 
 NULL_RATE, BAD_SHARE, SHIFT, FEWER = 0.05, 0.01, 0.2, 0.5
 OTHER = "other"
@@ -24,7 +26,7 @@ OTHER = "other"
 class Limits:
     """What is expected of a field: how to read a value, its range, its classes; `form` marks a pattern check."""
 
-    kind: str  # "number" or "date"
+    kind: str  # "number", "date" or "time" (no range, no classes of its own)
     low: float | None = None
     high: float | None = None
     #: (upper bound, name) of classes in rising order; values below `low` or above the last bound are OTHER.
@@ -70,6 +72,9 @@ def _judge(field: str, limits: Limits | None) -> dict[str, Column]:
     if limits is None:
         kind = F.when(number.isNotNull(), magnitude(number)).otherwise(shape(v))
         return {"number": number, "class": kind, "bad": no, "outside": no}
+    if limits.kind == "time":
+        moment = F.unix_micros(v.try_cast("timestamp")) / 1e6
+        return {"number": moment, "class": shape(v), "bad": no, "outside": no}
     if limits.kind == "date":
         day = real_date(v, limits.form)
         outside = F.coalesce((day < F.lit(FIRST_DAY)) | (day > F.lit(LAST_DAY)), no)
@@ -100,33 +105,45 @@ def judged_counts(counts: DataFrame, limits: dict[str, Limits]) -> DataFrame:
     return out
 
 
+def class_counts(judged: DataFrame) -> DataFrame:
+    """(load, field, class, n, nulls, n_distinct, low, high, bad, outside): sums of the judged counts by class."""
+    return judged.groupBy("load", "field", "class").agg(
+        F.sum("n").alias("n"),
+        F.coalesce(F.sum(F.when(F.col("blank"), F.col("n"))), F.lit(0)).alias("nulls"),
+        F.count_if(~F.col("blank")).alias("n_distinct"),
+        F.min("number").alias("low"),
+        F.max("number").alias("high"),
+        F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("bad"),
+        F.coalesce(F.sum(F.when(F.col("outside"), F.col("n"))), F.lit(0)).alias("outside"),
+    )
+
+
 def load_chain(counts: DataFrame) -> DataFrame:
     """(load, before): each load and the next smaller one; null for the first."""
     return previous_by_blocks(counts.select("load").distinct(), [], "load", "before")
 
 
-def field_profile(judged: DataFrame) -> DataFrame:
+def field_profile(classes: DataFrame) -> DataFrame:
     """One row per (load, field): rows, nulls, distinct values, smallest and largest number, pattern and range faults."""
-    filled = ~F.col("blank")
-    return judged.groupBy("load", "field").agg(
+    return classes.groupBy("load", "field").agg(
         F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("blank"), F.col("n"))), F.lit(0)).alias("nulls"),
-        F.count_if(filled).alias("n_distinct"),
-        F.min("number").alias("low"),
-        F.max("number").alias("high"),
-        F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("bad"),
-        F.coalesce(F.sum(F.when(F.col("outside"), F.col("n"))), F.lit(0)).alias("outside"),
+        F.sum("nulls").alias("nulls"),
+        F.sum("n_distinct").alias("n_distinct"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.sum("bad").alias("bad"),
+        F.sum("outside").alias("outside"),
     )
 
 
-def class_changes(judged: DataFrame, profile: DataFrame, chain: DataFrame) -> DataFrame:
+def class_changes(counted: DataFrame, profile: DataFrame, chain: DataFrame) -> DataFrame:
     """(load, field, moved, psi, chi2) of each load that has a predecessor.
 
     `moved` is the largest difference of a class's share of the values, rounded to 6 decimals; `psi` the population
     stability index over the classes (shares of 0 as half a value); `chi2` the two-sample chi-square statistic.
     Values of a load: those that are not null or blank. A load or predecessor without values has null measures.
     """
-    classes = judged.filter(F.col("class").isNotNull()).groupBy("load", "field", "class").agg(F.sum("n").alias("n"))
+    classes = counted.filter(F.col("class").isNotNull()).select("load", "field", "class", "n")
     sizes = profile.select("load", "field", (F.col("rows") - F.col("nulls")).alias("total"))
     pairs = chain.filter("before is not null")
     now = classes.join(pairs.select("load"), "load").select("load", "field", "class", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
@@ -153,13 +170,16 @@ def profile_loads(table: DataFrame, load: str, fields: list[str], limits: dict[s
 
     Columns: load, field, rows, nulls, n_distinct, low, high, bad, outside, before, distinct_before, moved, psi, chi2.
     `load` is an integer column; rows with a null load form a load of their own without predecessor. An empty table
-    has no rows; a load of nulls only has nulls = rows and null measures.
+    has no rows; a load of nulls only has nulls = rows and null measures. `low` and `high` of dates with limits are
+    days, of other date and timestamp columns seconds since 1970.
     """
     limits = TIRAGES_LIMITS if limits is None else limits
-    judged = judged_counts(value_counts(table, load, fields), {f: x for f, x in limits.items() if f in fields})
-    profile = field_profile(judged)
-    chain = load_chain(judged.filter("load is not null"))
-    moved = class_changes(judged, profile, chain)
+    times = {f: Limits("time") for f, kind in table.dtypes if kind in ("date", "timestamp", "timestamp_ntz")}
+    judged = judged_counts(value_counts(table, load, fields), {f: x for f, x in (times | limits).items() if f in fields})
+    classes = cut(class_counts(judged))
+    profile = field_profile(classes)
+    chain = load_chain(classes.filter("load is not null"))
+    moved = class_changes(classes, profile, chain)
     before = profile.select(F.col("load").alias("before"), "field", F.col("n_distinct").alias("distinct_before"))
     return (
         profile.join(chain, "load", "left")

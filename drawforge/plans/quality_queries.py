@@ -50,9 +50,12 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_profile(spark: SparkSession, root: str) -> DataFrame:
-    """The profile of every column of `tirages` in every load."""
+    """The profile of every column of `tirages` but the load number in every load, with its comparison to the last.
+
+    Rows less nulls and distinct values are repeats (of ids, say); low and high of loaded_at are seconds since 1970.
+    """
     tirages = table(spark, root, "tirages")
-    fields = [c for c in tirages.columns if c not in ("id", "load_no", "loaded_at")]
+    fields = [c for c in tirages.columns if c != "load_no"]
     found = profile.profile_loads(tirages, "load_no", fields)
     return found.select(
         F.col("load").alias("load_no"),
@@ -60,10 +63,14 @@ def p5_profile(spark: SparkSession, root: str) -> DataFrame:
         "rows",
         "nulls",
         "n_distinct",
+        "distinct_before",
+        "low",
+        "high",
         "bad",
         "outside",
         "moved",
         F.round("psi", 6).alias("psi"),
+        F.round("chi2", 6).alias("chi2"),
     )
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drawforge.operators import profile, units
+from drawforge.plans import quality_queries
 
 
 def cents_slowly(v, unit):
@@ -96,6 +97,20 @@ def test_class_of_a_text_is_its_whole_shape(spark):
     assert got[3].moved == 0.5 and got[3].psi > 0
 
 
+def test_profile_query_has_every_column_and_measure(spark, tmp_path):
+    rows = [(1, 1, "1999-01-01 00:00:00", 1), (2, 1, "1999-01-01 00:00:10", 1), (2, 1, None, 30), (None, 2, "1970-01-01 00:00:05.5", 30)]
+    t = spark.createDataFrame(rows, "id long, load_no int, at string, boule_1 int")
+    t.withColumn("loaded_at", F.col("at").cast("timestamp")).drop("at").write.parquet(str(tmp_path / "tirages.parquet"))
+    got = {(r.load_no, r.field_name): r for r in quality_queries.p5_profile(spark, str(tmp_path)).collect()}
+    assert set(got) == {(n, f) for n in (1, 2) for f in ("id", "loaded_at", "boule_1")}
+    one, two = got[1, "id"], got[2, "id"]
+    assert (one.rows, one.nulls, one.n_distinct, one.low, one.high) == (3, 0, 2, 1, 2) and (two.nulls, two.distinct_before) == (1, 2)
+    assert (got[1, "loaded_at"].low, got[1, "loaded_at"].high) == (915148800, 915148810) and got[2, "loaded_at"].low == 5.5
+    ball = got[2, "boule_1"]
+    assert (ball.low, ball.high, ball.moved) == (30, 30, 0.666667) and ball.psi > 0
+    assert ball.chi2 == round((3**0.5 * 1 - 1 / 3**0.5) ** 2 / 2 + (2 / 3**0.5) ** 2 / 2, 6)
+
+
 def test_clashing_and_repeated_columns(spark):
     t = rows_of(spark, {1: [(1, 1, "12/06/1999", 5.0)] * 2, 2: [(50, 1, "12/06/1999", 5.0)]})
     t = t.selectExpr("*", "1 as load", "'x' as value", "2 as n", "'y' as field", "3 as `class`", "4 as before")
