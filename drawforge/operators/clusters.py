@@ -19,12 +19,13 @@ def feature_vectors(draws: DataFrame, *keep: str) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(made)
 
 
-def fit(vectors: DataFrame, k: int = 5, restarts: int = 3, seed: int = 42) -> KMeansModel:
-    """The best of `restarts` k-means fits by cost. Fewer than 3 k draws raise ValueError."""
+def fit(vectors: DataFrame, k: int = 5, restarts: int = 10, seed: int = 42, max_iter: int = 300) -> KMeansModel:
+    """The best of `restarts` k-means fits by cost, each of at most `max_iter` iterations. Fewer than 3 k draws raise ValueError."""
     n = vectors.count()
     if n < 3 * k:
         raise ValueError(f"{n} draws are too few for {k} clusters")
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="vector", predictionCol="cluster").fit(vectors) for i in range(restarts)]
+    kmeans = KMeans(k=k, maxIter=max_iter, featuresCol="vector", predictionCol="cluster")
+    fits = [kmeans.setSeed(seed + i).fit(vectors) for i in range(restarts)]
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 

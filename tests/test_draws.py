@@ -252,6 +252,20 @@ def test_clusters(sample):
         clusters.assign(d.filter("di < 14"), 5, "di")
 
 
+def test_clusters_are_the_best_of_ten_long_fits(sample, monkeypatch):
+    fitted = []
+
+    class Seen(clusters.KMeans):
+        def fit(self, vectors):
+            fitted.append((self.getSeed(), super().fit(vectors)))
+            return fitted[-1][1]
+
+    monkeypatch.setattr(clusters, "KMeans", Seen)
+    best = clusters.fit(clusters.feature_vectors(sample[1], "di"))
+    assert [s for s, _ in fitted] == list(range(42, 52)) and all(m.getMaxIter() == 300 for _, m in fitted)
+    assert best.summary.trainingCost == min(m.summary.trainingCost for _, m in fitted)
+
+
 def test_prizes(spark):
     cols = ["id"] + [f"{k}_rang{r}" for r in range(1, 10) for k in ("gagnants", "rapport")]
     rows = [[i] + [v for r in range(1, 10) for v in ((i + r) % 3, float(r * i))] for i in range(10)]
