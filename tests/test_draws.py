@@ -165,6 +165,17 @@ def test_periodicity(sample):
     assert [k for k, _ in peaks] == want and all(p == round(n / k) for k, p in peaks)
 
 
+def test_long_series_are_split(sample, monkeypatch):
+    d = sample[1]
+    whole = {(r.ball, r.rank): r for r in periodicity.dft_peaks(d).collect()}
+    monkeypatch.setattr(periodicity, "SERIES_LIMIT", 100)
+    split = {(r.ball, r.rank): r for r in periodicity.dft_peaks(d).collect()}
+    assert set(split) == set(whole) and len(whole) > 49
+    for key, r in split.items():
+        assert (r.k, r.period) == (whole[key].k, whole[key].period) and r.magnitude == pytest.approx(whole[key].magnitude)
+    assert periodicity.dft_peaks(d, longest=257).count() > 49
+
+
 def hot_slowly(past):
     return sorted(b for b, _ in Counter(x for draw in past for x in draw).most_common(5))
 
