@@ -15,6 +15,27 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+#: Rows of the other side that one task joins to a key of a table too large to be sent to all executors.
+ROWS_PER_KEY = 1_000_000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, broadcast_rows: int, rows_per_key: int = ROWS_PER_KEY) -> DataFrame:
+    """Left join of `side`, which has one row for a value of `key`; no value meets in one task, however many rows have it.
+
+    A side of at most `broadcast_rows` rows, which is counted first, is sent to all executors. A larger one is
+    joined by shuffle: values with more than `rows_per_key` rows are split, and their row of `side` is repeated for each part.
+    """
+    if side.count() <= broadcast_rows:
+        return rows.join(F.broadcast(side), key, "left")
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > rows_per_key) & F.col(key).isNotNull())
+    # at most one row for every `rows_per_key` rows
+    hot = cut(many.select(key, F.ceil(F.col("_n") / rows_per_key).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), parts).cast("int"))
+    right = side.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.drop("_parts").join(right.drop("_parts"), [key, "_salt"], "left").drop("_salt")
+
+
 def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds `name` = 0-based position of each row in the total order `order`.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def unquote(c: Column) -> Column:
     return F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with `value` evaluated once however often `f` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 #: Longer lines with quoted fields are folded instead of matched: Java's matcher recurses once per repeat.
 MATCHED_UP_TO = 1000
 
@@ -38,8 +45,9 @@ def split_delimited(line: Column, sep: str = ";") -> Column:
 
     A field whose first character is a double quote runs to the next quote that is not doubled; where that is
     missing, or is not followed by the separator or the end, the quoting is broken. A quote anywhere else is an
-    ordinary character. Lines without an opening quote take the plain split; lines with one are matched, or, if
-    very long, folded piece by piece, with the same result.
+    ordinary character. Lines without an opening quote take the plain split. In a line whose quotes all open or close
+    a field the separators between quotes are masked before the split; other lines are matched, or, if very long,
+    folded piece by piece. All ways have the same result.
     """
     field = f'(?:"(?:[^"]++|"")*+"(?={sep}|$)|[^"{sep}][^{sep}]*+|(?={sep}|$))'
     # a separator is put in front, or an empty first field would swallow the one behind it
@@ -49,9 +57,30 @@ def split_delimited(line: Column, sep: str = ";") -> Column:
         F.transform(found, lambda x: F.when(x.startswith('"'), unquote(x)).otherwise(x)),
     )
     quoted = F.when(F.length(line) <= MATCHED_UP_TO, matched).otherwise(_fold_quoted(line, sep))
+    masked = let(F.split(line, '"', -1), lambda parts: _mask_quoted(parts, sep))
+    plain = F.transform(F.split(masked, sep, -1), lambda x: F.when(x.contains(MASK), F.translate(x, MASK, sep)).otherwise(x))
+    quoted = F.when(line.contains(MASK), quoted).otherwise(F.coalesce(plain, quoted))
     return F.when(line.startswith('"') | line.contains(sep + '"'), quoted).otherwise(F.split(line, sep, -1))
 
 
+#: Stands for a separator inside quotes while a line is split.
+MASK = "\x01"
+
+
+def _mask_quoted(parts: Column, sep: str) -> Column:
+    """The line whose pieces between quotes are `parts`, without the quotes and with the separators inside them masked;
+    null unless every quote opens or closes a field."""
+
+    def fits(x: Column, i: Column) -> Column:
+        first, last = i == 0, i == F.size(parts) - 1
+        edge = (first | last) & (x == "")
+        return (i % 2 == 1) | edge | ((last | x.endswith(sep)) & (first | x.startswith(sep)))
+
+    whole = (F.size(parts) % 2 == 1) & F.forall(F.transform(parts, fits), lambda x: x)
+    masked = F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.translate(x, sep, MASK)).otherwise(x))
+    return F.when(whole, F.array_join(masked, ""))
+
+
 def _fold_quoted(line: Column, sep: str) -> Column:
     pieces = F.split(line, sep, -1)
     no_open = F.lit(None).cast("string")

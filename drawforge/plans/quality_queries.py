@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, profile, rejects, units
-from ..schema import APPROVED
+from ..schema import LAYOUT
 from ..sources.tables import table
 
 
@@ -104,9 +104,15 @@ bad as (select file_no, row_no,
 rej as (select file_no, row_no, 'quoting' as reason from r0 where not ok
   union all select file_no, row_no, 'column_count' from rows left join hd using (file_no) where len(cells) is distinct from len(ns)
   union all select file_no, row_no, case when key then 'bad_key' else 'bad_value' end from bad where key or val)"""
-_ROWS = _ROWS.replace("{{", "{").replace("}}", "}").replace(
-    "{aliases}", ", ".join(f"('{a}', '{f}')" for f, names in APPROVED.items() for a in names)
-)
+#: Names in the files and the fields they stand for, written out for SQL.
+_NAMES = """('date_forclusion', 'date_de_forclusion'), ('forclusion', 'date_de_forclusion'), ('num_chance', 'numero_chance'), ('no_chance', 'numero_chance'),
+  ('combinaison_croissante', 'combinaison_gagnante_en_ordre_croissant'), ('combinaison_gagnante', 'combinaison_gagnante_en_ordre_croissant'),
+  ('gagnant_rg5', 'nombre_de_gagnant_au_rang5'), ('gagnants_rang5', 'nombre_de_gagnant_au_rang5'), ('nb_gagnants_rang_5', 'nombre_de_gagnant_au_rang5'),
+  ('nombre_de_gagnants_au_rang_5', 'nombre_de_gagnant_au_rang5'), ('nombre_gagnants_rang5', 'nombre_de_gagnant_au_rang5'), ('rapport_rang3', 'rapport_du_rang3'), ('gain_rang3', 'rapport_du_rang3'),
+  ('nombre_codes_gagnants', 'nombre_de_codes_gagnants'), ('nombre_de_codes', 'nombre_de_codes_gagnants'), ('nombre_codes', 'nombre_de_codes_gagnants'), ('nb_codes_gagnants', 'nombre_de_codes_gagnants'),
+  ('nb_codes', 'nombre_de_codes_gagnants'), ('num_jokerplus', 'numero_jokerplus'), ('no_joker+', 'numero_jokerplus'), ('numero_joker_plus', 'numero_jokerplus'), ('joker_plus', 'numero_jokerplus'),
+  ('jokerplus', 'numero_jokerplus'), ('code_devise', 'devise'), ('monnaie', 'devise')"""
+_ROWS = _ROWS.replace("{{", "{").replace("}}", "}").replace("{aliases}", _NAMES)
 ORACLE["p4_found"] = f"{_ROWS} select file_no, row_no, reason from rej"
 ORACLE["p4_clean"] = f"{_ROWS} select file_no, row_no, len(cells)::int as n_cells from rows anti join rej using (file_no, row_no)"
 ORACLE["p2_found"] = f"""{_ROWS},
@@ -123,6 +129,29 @@ union all select file_no, oname, 'removed' from bo where name is null
 union all select file_no, name, 'renamed' from bo where name <> oname
 union all select file_no, name, 'retyped' from bo where kind <> okind"""
 
+_NUMBER = "[+-]?[0-9]+([ \u00a0\u202f][0-9]{3})*([.,][0-9]+([ \u00a0\u202f][0-9]{3})*)?"
+_CASTS = {"bigint": "bigint", "int": "int", "double": "double", "string": "varchar"}
+
+
+def _text(v: str) -> str:
+    """`v` as it is cast to the type `kind`, null where it cannot be."""
+    number = f"case when regexp_full_match({v}, '{_NUMBER}') then replace(regexp_replace({v}, '[ \u00a0\u202f]', '', 'g'), ',', '.') end"
+    whole = f"regexp_replace({number}, '[.]0+$', '')"
+    return f"""case kind when 'string' then {v} when 'double' then {number} when 'int' then case when try_cast(case when {whole} not like '%.%' then {whole} end as int) is not null then {whole} end
+    else case when try_cast(case when {whole} not like '%.%' then {whole} end as bigint) is not null then {whole} end end"""
+
+
+_INNER = "trim(regexp_extract(v, '^[^0-9]*?([+-]?[0-9][0-9 \u00a0\u202f]*([.,][0-9]+)?)[^0-9]*$', 1), ' \u00a0')"
+ORACLE["p2_table"] = f"""{_ROWS},
+lay as (select * from (values {", ".join(f"('{n}', '{kind}')" for n, (_, kind) in LAYOUT.items())}) t(field, kind)),
+uni as (select *, case when row_number() over (partition by file_no, name order by pos) = 1 and name not like '%#%' then name else name || '#' || pos end as key from names),
+cl as (select file_no, row_no, pos, key, field, cells[pos] as v from (select * from rows anti join rej using (file_no, row_no)) join uni using (file_no) where cells[pos] <> ''),
+may as (select *, coalesce({_text("v")}, case when kind <> 'string' then {_text(_INNER)} end) as t, {_text("v")} as own from cl join lay using (field) where key not like '%#%'),
+won as (select * from may where t is not null qualify row_number() over (partition by file_no, row_no, field order by key <> field, pos) = 1),
+val as (select file_no, row_no, {", ".join(f"cast(max(t) filter (field = '{n}') as {_CASTS[kind]}) as {col}" for n, (col, kind) in LAYOUT.items())} from won group by 1, 2),
+res as (select file_no, row_no, '{{' || string_agg(to_json(key)::varchar || ':' || to_json(v)::varchar, ',' order by pos) || '}}' as _rescued from cl anti join won using (file_no, row_no, pos) group by 1, 2)
+select val.*, _rescued from val left join res using (file_no, row_no)"""
+
 #: fig(src_table, row_id, rang, v, unit): figures above 0 with their unit, by rules written out for SQL.
 _FIGURES = """
 with u as (select rec_id, year, source_code, trim(devise) as devise, rang, trim(t, ' \u00a0') as t from (
