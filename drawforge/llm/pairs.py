@@ -9,22 +9,30 @@ all pairs of items.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordering import global_index, spread_join
 from ..session import cut
 
 #: Items of a basket that are paired in one place; larger baskets are paired block by block.
 BLOCK_ITEMS = 256
-FIT_STEPS, FIT_TOLERANCE = 500, 1e-12
-#: Largest model that is fitted without coarsening.
-MODEL_CELLS = 20_000_000
+#: Links of a basket that learn its size in one place; a larger basket is split.
+SPLIT_LINKS = 65_536
+#: Rounds of the fit, and the largest relative error of a frequency or size that is left.
+FIT_STEPS, FIT_TOLERANCE = 500, 1e-9
+#: Cells of the model (frequencies x sizes) that are held at once; a fit of more cells runs on the executors.
+CELLS = 4_000_000
+#: Ranks that are adjusted in one place.
+RANK_BLOCK = 65_536
 
 
 def baskets_of(incidence: DataFrame, basket: str, item: str, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -35,7 +43,7 @@ def baskets_of(incidence: DataFrame, basket: str, item: str, block_items: int =
     """
     one = incidence.select(F.col(basket).alias("basket"), F.col(item).alias("item")).filter("basket is not null and item is not null").distinct()
     sizes = one.groupBy("basket").agg(F.count("*").alias("size"))
-    sized = one.join(sizes, "basket").withColumn("blocks", F.ceil(F.col("size") / block_items).cast("int"))
+    sized = spread_join(one, sizes, "basket", 0, SPLIT_LINKS).withColumn("blocks", F.ceil(F.col("size") / block_items).cast("int"))
     own = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
     placed = sized.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
@@ -63,42 +71,115 @@ def count_pairs(lists: DataFrame) -> DataFrame:
     return pair.groupBy(F.col("p.a").alias("item_a"), F.col("p.b").alias("item_b")).agg(F.count(F.lit(1)).alias("n_ab"))
 
 
-def _solve(n: np.ndarray, items: np.ndarray, size: np.ndarray, baskets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fitness x of each frequency and y of each size, by alternating fixed points."""
-    root = math.sqrt(float(size @ baskets))
-    x, y = n / root, size / root
-    for _ in range(FIT_STEPS):
-        x = n / ((baskets * y) / (1 + np.outer(x, y))).sum(axis=1)
-        new = size / ((items * x)[:, None] / (1 + np.outer(x, y))).sum(axis=0)
-        moved = np.max(np.abs(new - y) / y)
-        y = new
-        if moved < FIT_TOLERANCE:
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1.0 / (1.0 + np.exp(-z))
+
+
+def _chunks(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of `rows` that hold at most CELLS cells, one row at least."""
+    step = max(1, CELLS // max(columns, 1))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
+def _improved(want: np.ndarray, own: np.ndarray, weight: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Own log fitness after Newton steps towards sum of weight * sigmoid(own + other) = want; then the sums at the start."""
+    out, sums = own.copy(), np.empty_like(own)
+    for part in _chunks(len(own), len(other)):
+        for step in range(3):
+            p = _sigmoid(out[part, None] + other)
+            total = p @ weight
+            if step == 0:
+                sums[part] = total
+            out[part] += np.clip((want[part] - total) / np.maximum((p * (1 - p)) @ weight, 1e-300), -2.0, 2.0)
+    return np.stack([out, sums])
+
+
+def _on_executors(spark: SparkSession) -> Callable[..., np.ndarray]:
+    """`_improved` by blocks of rows on the executors. What comes back is two numbers a row; neither frequencies nor sizes
+    can be more than the square root of twice the links."""
+
+    def improved(want: np.ndarray, own: np.ndarray, weight: np.ndarray, other: np.ndarray) -> np.ndarray:
+        tasks = min(len(own), 4 * spark.sparkContext.defaultParallelism)
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps((want, own, weight, other, _improved, np.array_split(np.arange(len(own)), tasks))))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            want, own, weight, other, step, blocks = pickle.loads(shared.value)
+            for frame in frames:
+                for k in frame["id"]:
+                    at = blocks[k]
+                    new = step(want[at], own[at], weight, other)
+                    yield pd.DataFrame({"i": at, "out": new[0], "sums": new[1]})
+
+        got = spark.range(0, tasks, 1, tasks).mapInPandas(run, "i long, out double, sums double").toPandas().sort_values("i")
+        shared.unpersist()
+        return np.stack([got["out"].to_numpy(), got["sums"].to_numpy()])
+
+    return improved
+
+
+def solve(n: np.ndarray, items: np.ndarray, size: np.ndarray, baskets: np.ndarray, improved: Callable[..., np.ndarray] = _improved) -> tuple[np.ndarray, np.ndarray]:
+    """Log fitness of the items of each frequency `n` and of the baskets of each `size`.
+
+    Items that are in every basket, baskets that hold every item, and what is then in none, are certain: they get
+    values so large that they decide, the ones found first the largest, and the others are fitted without them.
+    Raises ArithmeticError if FIT_STEPS rounds do not reach FIT_TOLERANCE.
+    """
+    n, items, size, baskets = (np.asarray(v, dtype=float) for v in (n, items, size, baskets))
+    x, y = np.zeros(len(n)), np.zeros(len(size))
+    left_x, left_y = np.ones(len(n), dtype=bool), np.ones(len(size), dtype=bool)
+    need_x, need_y = n.copy(), size.copy()
+    sure = 2.0**60
+    while left_x.any() and left_y.any():
+        all_baskets, all_items = baskets[left_y].sum(), items[left_x].sum()
+        for value, own, need, other, other_need, count, total in (
+            (sure, left_x, need_x, left_y, need_y, items, all_baskets),
+            (sure, left_y, need_y, left_x, need_x, baskets, all_items),
+        ):
+            full, none = own & (need >= total), own & (need <= 0)
+            if full.any() or none.any():
+                (x if own is left_x else y)[full] = value
+                (x if own is left_x else y)[none] = -value
+                other_need[other] -= count[full].sum()
+                own &= ~(full | none)
+                break
+        else:
             break
-    return n / ((baskets * y) / (1 + np.outer(x, y))).sum(axis=1), y
+        sure /= 2
+    if not (left_x.any() and left_y.any()):
+        return x, y
+    wx, wy, vx, vy = items[left_x], baskets[left_y], need_x[left_x], need_y[left_y]
+    a = np.log(vx / (wy.sum() - vx))
+    b = np.log(vy / (wx.sum() - vy))
+    a, b = a - np.average(a, weights=wx) / 2, b - np.average(b, weights=wy) / 2
+    for _ in range(FIT_STEPS):
+        a, at_x = improved(vx, a, wy, b)
+        b, at_y = improved(vy, b, wx, a)
+        # both sides are measured with the values that the round began with and with those it has made
+        if max(np.max(np.abs(at_x - vx) / vx), np.max(np.abs(at_y - vy) / vy)) < FIT_TOLERANCE:
+            x[left_x], y[left_y] = a, b
+            return x, y
+    raise ArithmeticError(f"the null model of {len(n)} frequencies and {len(size)} sizes is not fitted after {FIT_STEPS} rounds")
 
 
 def fit_null(frequencies: DataFrame, sizes: DataFrame) -> tuple[DataFrame, list[tuple[int, int, float]]]:
     """The configuration model of `frequencies`(n, items) and `sizes`(size, baskets).
 
-    Returns ((n, x): the fitness of items of each frequency, [(size, baskets, y)]). An item and a basket are linked
-    with probability xy / (1 + xy). Items of one frequency share x and baskets of one size share y, so the model needs
-    the two histograms only. They come to the driver while (different frequencies) x (different sizes) is at most
-    MODEL_CELLS; neither number can pass the square root of twice the links. A larger model is coarsened: frequencies
-    that differ by less than a thousandth share the x of their mean.
+    Returns ((n, x): the log fitness of items of each frequency, [(size, baskets, y)]). An item and a basket are linked
+    with probability sigmoid(x + y). Items of one frequency share x and baskets of one size share y, so the model needs
+    the two histograms only, and is exact at any size. The histograms come to the driver: neither can have more rows
+    than the square root of twice the links. Up to CELLS cells are fitted there, a larger model by blocks of rows on
+    the executors, by the same steps.
     """
+    spark = frequencies.sparkSession
     known = [(int(r[0]), int(r[1])) for r in sizes.orderBy("size").collect()]
-    if not known:
+    per = [(int(r[0]), int(r[1])) for r in frequencies.select("n", "items").orderBy("n").collect()]
+    if not known or not per:
         return frequencies.select("n", F.lit(0.0).alias("x")), []
-    bins = frequencies.withColumn("bin", F.col("n").cast("double"))
-    if frequencies.count() * len(known) > MODEL_CELLS:
-        bins = frequencies.withColumn("bin", F.round(F.ln("n") * 1000))
-    per = bins.groupBy("bin").agg(F.sum(F.col("n") * F.col("items")).alias("links"), F.sum("items").alias("items")).collect()
-    items = np.array([float(r["items"]) for r in per])
-    n = np.array([float(r["links"]) for r in per]) / items
-    size, baskets = (np.array(c, dtype=float) for c in zip(*known))
-    x, y = _solve(n, items, size, baskets)
-    table = frequencies.sparkSession.createDataFrame([(r["bin"], float(v)) for r, v in zip(per, x)], "bin double, x double")
-    fitted = bins.join(F.broadcast(table), "bin").select("n", "x")
+    (n, items), (size, baskets) = zip(*per), zip(*known)
+    small = len(per) * len(known) <= CELLS
+    x, y = solve(np.array(n), np.array(items), np.array(size), np.array(baskets), _improved if small else _on_executors(spark))
+    fitted = spark.createDataFrame(pd.DataFrame({"n": np.array(n, dtype=np.int64), "x": x}), "n long, x double")
     return fitted, [(s, b, float(v)) for (s, b), v in zip(known, y)]
 
 
@@ -148,54 +229,58 @@ def _log_normal_tail(z: np.ndarray) -> np.ndarray:
 
 
 def surprise(pairs: DataFrame, model: list[tuple[int, int, float]]) -> DataFrame:
-    """`pairs`(item_a, item_b, n_ab, n_a, n_b, x_a, x_b) with expected, ratio and log_p = ln P(count >= n_ab)."""
+    """`pairs`(item_a, item_b, n_ab, n_a, n_b, x_a, x_b) with expected, ratio and log_p = ln P(count >= n_ab).
+
+    Pairs of the same counts are judged once in each batch, and no more than CELLS cells of pairs x sizes are held.
+    """
     n = np.array([float(b) for _, b, _ in model])
     y = np.array([v for _, _, v in model])
+    shared = pairs.sparkSession.sparkContext.broadcast((n, y))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, y = shared.value
         for frame in frames:
-            xa, xb = frame["x_a"].to_numpy()[:, None] * y, frame["x_b"].to_numpy()[:, None] * y
-            q = (xa / (1 + xa)) * (xb / (1 + xb))
-            frame["expected"] = q @ n
-            frame["log_p"] = log_tail(frame["n_ab"].to_numpy(), q, n)
+            low, high = np.minimum(frame["x_a"], frame["x_b"]), np.maximum(frame["x_a"], frame["x_b"])
+            once, back = np.unique(np.stack([frame["n_ab"].to_numpy(dtype=float), low, high], axis=1), axis=0, return_inverse=True)
+            expected, log_p = np.empty(len(once)), np.empty(len(once))
+            for part in _chunks(len(once), len(y)):
+                q = _sigmoid(once[part, 1, None] + y) * _sigmoid(once[part, 2, None] + y)
+                expected[part] = q @ n
+                log_p[part] = log_tail(once[part, 0], q, n)
+            frame["expected"], frame["log_p"] = expected[back.ravel()], log_p[back.ravel()]
             yield frame
 
     schema = T.StructType([*pairs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("expected", "log_p"))])
     return pairs.mapInPandas(judge, schema).withColumn("ratio", F.col("n_ab") / F.col("expected"))
 
 
-def control_discoveries(tested: DataFrame, tests: int) -> DataFrame:
+def control_discoveries(tested: DataFrame, tests: int, block: int = RANK_BLOCK) -> DataFrame:
     """Adds `log_q`: ln of the Benjamini-Hochberg adjusted p-value over `tests` tests.
 
-    Pairs that never come together have p = 1 and need no row. Equal p-values are ranked once, by their count; ranks
-    come from sums over ranges of p-values, so nothing is sorted in one place.
+    Pairs that never come together have p = 1 and need no row. Rows are ranked in the order of (log_p, item_a, item_b)
+    by ranges, so that no value of log_p, however common, meets in one task; equal values end with the adjusted value of
+    the last of them. The smallest later value is taken within blocks of ranks and over one row for each block.
     """
-    levels = cut(tested.groupBy("log_p").agg(F.count("*").alias("k")))
-    edges = levels.approxQuantile("log_p", [i / 64 for i in range(1, 64)], 0.001)
-    bucket = F.lit(0)
-    for e in sorted(set(edges)):
-        bucket = bucket + F.when(F.col("log_p") > e, 1).otherwise(0)
-    levels = levels.withColumn("b", bucket)
-    up = W.partitionBy("b").orderBy("log_p")
-    levels = levels.withColumn("rank", F.sum("k").over(up.rowsBetween(W.unboundedPreceding, 0)))
-    per = levels.groupBy("b").agg(F.sum("k").alias("n"))
-    # one row per bucket, at most 64
-    off = per.select("b", F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    levels = levels.join(F.broadcast(off), "b").withColumn("raw", F.col("log_p") + F.ln(F.lit(float(max(tests, 1)))) - F.ln(F.col("rank") + F.col("off")))
-    levels = cut(levels)
-    low = levels.groupBy("b").agg(F.min("raw").alias("m"))
-    after = low.select("b", F.min("m").over(W.orderBy("b").rowsBetween(1, W.unboundedFollowing)).alias("later"))
-    down = W.partitionBy("b").orderBy("log_p").rowsBetween(0, W.unboundedFollowing)
-    q = levels.join(F.broadcast(after), "b").withColumn("log_q", F.least(F.min("raw").over(down), F.col("later"), F.lit(0.0)))
-    return tested.join(q.select("log_p", "log_q"), "log_p")
-
-
-def pair_surprise(lists: DataFrame) -> DataFrame:
-    """(item_a, item_b, n_ab, n_a, n_b, n, expected, ratio, log_p, log_q) of every pair that occurs together.
+    ranked = global_index(tested, [F.col("log_p"), F.col("item_a"), F.col("item_b")], "_i")
+    raw = F.col("log_p") + F.ln(F.lit(float(max(tests, 1)))) - F.ln(F.col("_i") + 1)
+    ranked = ranked.withColumn("_raw", raw).withColumn("_block", F.floor(F.col("_i") / block))
+    low = ranked.groupBy("_block").agg(F.min("_raw").alias("_m"))
+    # one row for each `block` pairs
+    after = low.select("_block", F.min("_m").over(W.orderBy("_block").rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    down = W.partitionBy("_block").orderBy("_i").rowsBetween(0, W.unboundedFollowing)
+    adjusted = ranked.withColumn("_least", F.min("_raw").over(down)).join(F.broadcast(after), "_block")
+    return adjusted.withColumn("log_q", F.least("_least", "_later", F.lit(0.0))).drop("_i", "_raw", "_block", "_least", "_later")
+
+
+def pair_surprise(lists: DataFrame, least: int = 1) -> DataFrame:
+    """(item_a, item_b, n_ab, n_a, n_b, n, expected, ratio, log_p, log_q) of every pair that occurs together in at least
+    `least` baskets.
 
     `lists` has `items` (array without repeats or nulls), `others` and `size` as `baskets_of` gives them. `n` is the
-    number of baskets. Items that are in every basket have expectation and ratio as any other. An empty input has no
-    pairs; a basket of one item counts for its item and its size only.
+    number of baskets. The discoveries are controlled over all pairs of items, whatever `least` is; over billions of
+    records set it to what is worth a row, as there are as many rows as pairs. Items that are in every basket have
+    expectation and ratio as any other. An empty input has no pairs; a basket of one item counts for its item and its
+    size only.
     """
     lists = cut(lists)
     # a basket in one piece is one row; of a basket in pieces, the rows (i, i) hold each item once
@@ -204,11 +289,11 @@ def pair_surprise(lists: DataFrame) -> DataFrame:
     members = whole.groupBy("size").agg(F.sum(F.size("items")).alias("links"))
     sizes = members.filter("size > 0").select("size", F.round(F.col("links") / F.col("size")).cast("long").alias("baskets"))
     x, model = fit_null(items.groupBy("n").agg(F.count("*").alias("items")), sizes)
-    fitted = items.join(x, "n")
+    # one row for each different frequency: at most the square root of twice the links
+    fitted = items.join(F.broadcast(x), "n")
     n_items = items.count()
     n_baskets = sum(b for _, b, _ in model)
     side = lambda s: fitted.select(F.col("item").alias(f"item_{s}"), F.col("n").alias(f"n_{s}"), F.col("x").alias(f"x_{s}"))
-    pairs = count_pairs(lists).join(side("a"), "item_a").join(side("b"), "item_b")
-    tested = cut(surprise(pairs, model))
-    out = control_discoveries(tested, n_items * (n_items - 1) // 2)
+    pairs = count_pairs(lists).filter(F.col("n_ab") >= least).join(side("a"), "item_a").join(side("b"), "item_b")
+    out = control_discoveries(surprise(pairs, model), n_items * (n_items - 1) // 2)
     return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(n_baskets).cast("long").alias("n"), "expected", "ratio", "log_p", "log_q")

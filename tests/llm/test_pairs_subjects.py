@@ -31,7 +31,7 @@ def test_null_honours_frequencies_and_sizes(spark):
     s = spark.createDataFrame([(2, 5), (3, 10)], "size long, baskets long")
     x, model = pairs.fit_null(f, s)
     x = {r.n: r.x for r in x.collect()}
-    p = lambda n, y: x[n] * y / (1 + x[n] * y)
+    p = lambda n, y: 1 / (1 + math.exp(-x[n] - y))
     for n in (2, 7, 9):
         assert sum(b * p(n, y) for _, b, y in model) == pytest.approx(n)
     for size, _, y in model:
@@ -60,14 +60,66 @@ def test_tails():
 def test_discoveries(spark):
     rng = np.random.RandomState(2)
     lp = np.round(np.log(rng.uniform(size=400)) * np.where(rng.uniform(size=400) < 0.1, 8, 1), 2)
-    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(lp)], "i int, log_p double")
-    got = {r.i: r.log_q for r in pairs.control_discoveries(df, 1000).collect()}
+    lp[100:300] = lp[100]  # most rows have one value
+    df = spark.createDataFrame([(i, i % 7, float(v)) for i, v in enumerate(lp)], "item_a int, item_b int, log_p double")
+    got = {r.item_a: r.log_q for r in pairs.control_discoveries(df, 1000, block=16).collect()}
     order = np.sort(lp)
     raw = {v: v + math.log(1000) - math.log((lp <= v).sum()) for v in set(order)}
     for i, v in enumerate(lp):
         assert got[i] == pytest.approx(min(0.0, min(r for w, r in raw.items() if w >= v)))
 
 
+def test_fit_with_certain_links_and_on_executors(spark):
+    rng = np.random.RandomState(3)
+    links = rng.uniform(size=(40, 200)) < 0.2 + 0.7 * rng.uniform(size=(40, 1)) * rng.uniform(size=(1, 200))
+    links[3], links[7, :], links[:, 5], links[:, 9] = True, False, True, False
+    links[3, 9] = True
+    n, items = np.unique(links.sum(axis=1), return_counts=True)
+    size, baskets = np.unique(links.sum(axis=0), return_counts=True)
+    x, y = pairs.solve(n, items, size, baskets)
+    p = pairs._sigmoid(x[:, None] + y)
+    assert p @ baskets == pytest.approx(n, abs=1e-6) and items @ p == pytest.approx(size, abs=1e-6)
+    assert p[n == 200].min() == 1.0
+    for got, want in zip(pairs.solve(n, items, size, baskets, pairs._on_executors(spark)), (x, y)):
+        assert got == pytest.approx(want)
+    with pytest.raises(ArithmeticError):
+        pairs.solve(n, items, size, baskets, lambda want, own, weight, other: np.stack([own, want * 2]))
+
+
+def test_thousands_of_sizes(spark, monkeypatch):
+    rng = np.random.RandomState(6)
+    size = np.arange(2, 5002)
+    chance = rng.uniform(0.01, 0.3, 30_000)
+    links = int(chance.sum() * 100)
+    n = np.maximum(1, (chance * links / chance.sum()).astype(int))
+    extra = int(n.sum() - size.sum())
+    sizes = {int(s): 1 for s in size}
+    sizes[2] += extra // 2
+    sizes[3] += 0
+    n[0] += int(sum(s * b for s, b in sizes.items()) - n.sum())
+    assert sum(s * b for s, b in sizes.items()) == n.sum()
+    f, items = np.unique(n, return_counts=True)
+    s, b = np.array(sorted(sizes)), np.array([sizes[k] for k in sorted(sizes)])
+    x, y = pairs.solve(f, items, s, b)
+    model = list(zip(s.tolist(), b.tolist(), y.tolist()))
+    rows = [(1, 2, k, int(f[5]), int(f[9]), float(x[5]), float(x[9])) for k in (1, 3)] * 500
+    df = spark.createDataFrame(rows, "item_a int, item_b int, n_ab long, n_a long, n_b long, x_a double, x_b double")
+    monkeypatch.setattr(pairs, "CELLS", 20_000)
+    got = {(r.n_ab, r.expected, r.log_p) for r in pairs.surprise(df, model).collect()}
+    q = pairs._sigmoid(x[5] + y) * pairs._sigmoid(x[9] + y)
+    assert len(got) == 2
+    for k, expected, log_p in got:
+        assert expected == pytest.approx(float(q @ b)) and log_p == pytest.approx(float(pairs.log_tail(np.array([k]), q[None], b)[0]))
+
+
+def test_least_count_keeps_the_adjusted_tails(spark):
+    inc = spark.createDataFrame([(b, i) for b in range(60) for i in range(8) if (b * 7 + i * i) % (i + 2) < 2], "basket int, item int")
+    lists = pairs.baskets_of(inc, "basket", "item")
+    all_ = {(r.item_a, r.item_b): r for r in pairs.pair_surprise(lists).collect()}
+    some = {(r.item_a, r.item_b): r for r in pairs.pair_surprise(lists, 10).collect()}
+    assert set(some) == {k for k, r in all_.items() if r.n_ab >= 10} and some
+
+
 def test_empty_pairs(spark):
     inc = spark.createDataFrame([], "basket string, item int")
     assert pairs.pair_surprise(pairs.baskets_of(inc, "basket", "item")).count() == 0
