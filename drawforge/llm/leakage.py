@@ -2,23 +2,30 @@
 
 A pattern is a run of `run` consecutive words of a passage. The shift table tells, for a block of two words at the end
 of the search window, how many words the window can move on without missing a pattern; where it cannot move, the block
-is the last of some pattern, and the words themselves are compared with the patterns of that suffix bucket.
+is the last of some pattern, and the words themselves are compared with the patterns of that suffix bucket. The tables
+are flat arrays, built once for a bounded number of words and sent to the executors.
 """
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items whose patterns are searched for in one pass; more items take more passes over the texts.
-ITEMS_PER_PASS = 20_000
+from ..session import cut
+
+#: Words of passages that are searched for in one pass, about; more take more passes over the texts.
+WORDS_PER_PASS = 2_000_000
+#: Words of one piece of a passage; a longer one is cut, with an overlap.
+PIECE_WORDS = 50_000
 BLOCK = 2
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Folding(dict):
@@ -41,7 +48,8 @@ def words_of(text: str, folding: Folding) -> list[str]:
 
 
 def _hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).view(np.uint64)
+    """64-bit hashes of words, the same in every process."""
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False) if words else np.zeros(0, dtype=np.uint64)
 
 
 def _blocks(h: np.ndarray) -> np.ndarray:
@@ -49,32 +57,52 @@ def _blocks(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         mixed = h * _MIX
         out = mixed ^ (mixed >> np.uint64(29))
-        out[1:] += h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        out[1:] += h[:-1] * _NEXT
+    return out
+
+
+def _runs(h: np.ndarray, ends: np.ndarray, run: int) -> np.ndarray:
+    """Hash of the `run` words that end at each of `ends`."""
+    out = np.zeros(len(ends), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(run - 1, -1, -1):
+            out = out * _MIX + h[ends - k]
+            out ^= out >> np.uint64(31)
     return out
 
 
 class Tables:
-    """Shift table and suffix buckets of all runs of `run` words of some passages."""
+    """Shift table and suffix buckets of all runs of `run` words of some pieces of passages, as flat arrays.
+
+    `keys` are the blocks of two words that are in a pattern, in order, and `shifts` how far the window may move for
+    each; a block of shift 0 ends a pattern. A bucket's patterns stand in `patterns` by the hash of all their words, with
+    the piece and place they come from, so that a place of a text is compared with those only that may be equal.
+    """
 
     def __init__(self, items: list[tuple[int, str]], run: int):
-        self.run, self.folding = run, Folding()
-        patterns: dict[tuple[str, ...], set[int]] = {}
-        for item, passage in items:
-            words = words_of(passage or "", self.folding)
-            for i in range(len(words) - run + 1):
-                patterns.setdefault(tuple(words[i : i + run]), set()).add(item)
-        self.items = {p: sorted(s) for p, s in patterns.items()}
-        shift: dict[int, int] = {}
-        suffix: dict[int, dict[tuple[str, ...], list[int]]] = {}
-        for p, found in self.items.items():
-            keys = _blocks(_hashes(list(p)))
-            for end in range(BLOCK - 1, run):
-                k = int(keys[end])
-                shift[k] = min(shift.get(k, run), run - 1 - end)
-            suffix.setdefault(int(keys[-1]), {})[p] = found
-        self.keys = np.array(sorted(shift), dtype=np.uint64)
-        self.shifts = np.array([shift[int(k)] for k in self.keys], dtype=np.int64)
-        self.suffix = suffix
+        """`items` are (item, words of a piece parted by blanks), each of at least `run` words."""
+        self.run = run
+        self.items = np.array([i for i, _ in items], dtype=np.int64)
+        self.pieces = [t for _, t in items]
+        words = [t.split(" ") for t in self.pieces]
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        h = _hashes([w for ws in words for w in ws])
+        del words
+        # place of each word in its piece: the window of the first pattern that ends behind it ends at run - 1
+        place = np.arange(len(h), dtype=np.int64) - np.repeat(starts, sizes)
+        inside = place >= BLOCK - 1
+        keys, shifts = _blocks(h)[inside], np.maximum(run - 1 - place[inside], 0)
+        order = np.lexsort((shifts, keys))
+        keys, shifts = keys[order], shifts[order]
+        first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, dtype=bool)
+        self.keys, self.shifts = keys[first], shifts[first].astype(np.int16)
+        ends = np.flatnonzero(place >= run - 1)
+        found = _runs(h, ends, run)
+        order = np.argsort(found, kind="stable")
+        self.patterns = found[order]
+        self.piece = (np.searchsorted(starts, ends[order], side="right") - 1).astype(np.int32)
+        self.at = (place[ends[order]] - run + 1).astype(np.int32)
 
     def moves(self, blocks: np.ndarray) -> np.ndarray:
         """How far the window may move for each block at its end; 0 means that a pattern may end here."""
@@ -88,48 +116,77 @@ class Tables:
         """
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         which = np.flatnonzero(sizes >= self.run)
-        if not len(which) or not len(self.keys):
+        if not len(which) or not len(self.patterns):
             return
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        blocks = _blocks(_hashes([w for t in texts for w in t]))
+        h = _hashes([w for t in texts for w in t])
+        blocks = _blocks(h)
         end = starts[which] + self.run - 1
         stop = starts[which] + sizes[which]
         seen: set[tuple[int, int]] = set()
         while len(which):
-            keys = blocks[end]
-            move = self.moves(keys)
-            for j in np.flatnonzero(move == 0):
+            move = self.moves(blocks[end])
+            zero = np.flatnonzero(move == 0)
+            hashes = _runs(h, end[zero], self.run)
+            low, high = np.searchsorted(self.patterns, hashes), np.searchsorted(self.patterns, hashes, side="right")
+            for j, a, b in zip(zero[low < high], low[low < high], high[low < high]):
                 text, last = int(which[j]), int(end[j] - starts[which[j]])
-                found = self.suffix[int(keys[j])].get(tuple(texts[text][last - self.run + 1 : last + 1]), ())
-                for item in found:
-                    if (text, item) not in seen:
+                words = texts[text][last - self.run + 1 : last + 1]
+                for k in range(a, b):
+                    item = int(self.items[self.piece[k]])
+                    if (text, item) not in seen and self._words(int(self.piece[k]), int(self.at[k])) == words:
                         seen.add((text, item))
                         yield text, item
             end = end + np.maximum(move, 1)
             left = end < stop
             which, end, stop = which[left], end[left], stop[left]
 
+    def _words(self, piece: int, at: int) -> list[str]:
+        return self.pieces[piece].split(" ")[at : at + self.run]
+
+
+def pieces(items: DataFrame, run: int, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """(item_id, words, n): the folded words of passages of at least `run` words, long ones in overlapping pieces."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folding = Folding()
+        for frame in frames:
+            rows = []
+            for item, passage in zip(frame["item_id"], frame["passage"]):
+                words = words_of(passage, folding)
+                for at in range(0, max(len(words) - run + 1, 0), piece_words):
+                    part = words[at : at + piece_words + run - 1]
+                    rows.append((item, " ".join(part), len(part)))
+            yield pd.DataFrame(rows, columns=["item_id", "words", "n"])
+
+    known = items.select("item_id", "passage").filter("passage is not null and item_id is not null")
+    return known.mapInPandas(fold, "item_id long, words string, n int")
+
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = 12, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
     """(doc_id, item_id) of every document whose `text` shares a run of at least `run` words with a passage.
 
-    Texts are read whole, and stay where they are: the search shuffles nothing but its result. Items come to the
-    driver in blocks of ITEMS_PER_PASS and go to the executors as tables; each block is one pass over the texts.
-    Null or shorter texts and passages share nothing; equal passages leak under each of their items; rows that repeat
-    a document give its rows once. Other columns of both tables are not read.
+    Texts are read whole, and stay where they are: the search shuffles nothing but its result. Passages are folded and
+    cut on the executors and dealt to passes by hash, so that about `words_per_pass` words of them are on the driver at
+    once; each pass builds its tables there, sends them (some 30 bytes a word) and reads the texts once. Null or shorter
+    texts and passages share nothing; equal passages leak under each of their items; rows that repeat a document give
+    its rows once. Other columns of both tables are not read.
     """
     spark = documents.sparkSession
-    known = [(r[0], r[1]) for r in items.select("item_id", "passage").filter("passage is not null").toLocalIterator()]
     schema = "doc_id long, item_id long"
+    known = cut(pieces(items, run).distinct())
+    total = known.agg(F.sum("n")).first()[0] or 0
+    passes = -(-total // words_per_pass)
+    numbered = known.withColumn("pass", F.pmod(F.xxhash64("item_id", "words"), F.lit(max(passes, 1))))
     found = None
-    for at in range(0, len(known), ITEMS_PER_PASS):
-        shared = spark.sparkContext.broadcast(known[at : at + ITEMS_PER_PASS])
+    for k in range(passes):
+        rows = numbered.filter(F.col("pass") == k).orderBy("item_id", "words").select("item_id", "words").collect()
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(Tables([(r[0], r[1]) for r in rows], run)))
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            tables = Tables(shared.value, run)
+            tables, folding = pickle.loads(shared.value), Folding()
             for frame in frames:
-                texts = [words_of(t, tables.folding) for t in frame["text"]]
-                hits = list(tables.search(texts))
+                hits = list(tables.search([words_of(t, folding) for t in frame["text"]]))
                 ids = frame["doc_id"].to_numpy()
                 yield pd.DataFrame({"doc_id": [ids[i] for i, _ in hits], "item_id": [k for _, k in hits]}, dtype="int64")
 

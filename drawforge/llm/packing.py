@@ -32,26 +32,26 @@ def split_items(sizes: DataFrame, capacity: int) -> DataFrame:
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: the best of three families of dual-feasible functions.
+    """Bins that any packing needs: the best of three families of dual-feasible functions, over all their thresholds.
 
     u_k rounds x = size/capacity to multiples of 1/k; U_e takes items above 1-e as whole bins and those below e as
-    nothing; both are also applied one after the other.
+    nothing; both are also applied one after the other. A function's sum for every threshold e comes from running sums
+    over the sizes in order.
     """
     if not len(sizes):
         return 0
-    size, n = np.unique(sizes, return_counts=True)
-    best = -(-int((size * n).sum()) // capacity)
+    size, n = np.unique(sizes.astype(np.int64), return_counts=True)
     limits = np.unique(np.concatenate([[0], size[size * 2 <= capacity]]))
-    if len(limits) > 256:  # any choice of thresholds gives a valid bound
-        limits = limits[np.linspace(0, len(limits) - 1, 256).astype(int)]
-    for e in limits:
-        x = np.where(size > capacity - e, capacity, np.where(size < e, 0, size)).astype(np.int64)
-        best = max(best, -(-int((x * n).sum()) // capacity))
-        for k in (1, 2, 3, 4, 5, 7):
-            up = (k + 1) * x
-            # values in units of 1/(k*capacity)
-            y = np.where(up % capacity == 0, x * k, (up // capacity) * capacity)
-            best = max(best, -(-int((y * n).sum()) // (k * capacity)))
+    low, high = np.searchsorted(size, limits), np.searchsorted(size, capacity - limits, side="right")
+    whole = n.sum() - np.concatenate([[0], np.cumsum(n)])[high]
+    best = 0
+    for k in (0, 1, 2, 3, 4, 5, 7):
+        up = (k + 1) * size
+        # values in units of 1/(k * capacity); k = 0 stands for the sizes as they are
+        y = np.where(up % capacity == 0, size * k, (up // capacity) * capacity) if k else size
+        so_far = np.concatenate([[0], np.cumsum(y * n)])
+        sums = so_far[high] - so_far[low] + whole * max(k, 1) * capacity
+        best = max(best, -(-int(sums.max()) // (max(k, 1) * capacity)))
     return best
 
 
@@ -81,17 +81,18 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack_round(items: DataFrame, capacity: int, round_: int, partitions: int) -> DataFrame:
-    spread = F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_)), F.lit(partitions)).cast("int")
+    # by the row's own number, so that rows which repeat a document are spread as any others
+    spread = F.pmod(F.xxhash64("row", F.lit(round_)), F.lit(partitions)).cast("int")
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece"], kind="stable")
+        group = group.sort_values(["doc_id", "piece", "row"], kind="stable")
         sizes = group["tokens"].to_numpy()
         group["bin"] = best_fit_decreasing(sizes, capacity)
         group["gap"] = int(group["bin"].max()) + 1 - lower_bound(sizes, capacity)
         return group
 
-    keep = "doc_id long, piece int, n_pieces int, tokens int, part int"
-    parts = items.select("doc_id", "piece", "n_pieces", "tokens", spread.alias("part"))
+    keep = "row long, doc_id long, piece int, n_pieces int, tokens int, part int"
+    parts = items.select("row", "doc_id", "piece", "n_pieces", "tokens", spread.alias("part"))
     packed = parts.groupBy("part").applyInPandas(pack, keep + ", bin int, gap int")
     return packed.withColumn("round", F.lit(round_))
 
@@ -104,12 +105,13 @@ def pack(sizes: DataFrame, capacity: int, per_partition: int = PER_PARTITION, ro
     partition is larger than about `per_partition` items, whatever the sizes or repeats of `doc_id`. Items without
     tokens are in no bin; an empty table gives an empty one. `capacity` is at least 1.
     """
-    pieces = cut(split_items(sizes, capacity))
+    # the checkpoint fixes the numbers of the rows
+    pieces = cut(split_items(sizes, capacity).withColumn("row", F.monotonically_increasing_id()))
     full = pieces.filter(F.col("tokens") == capacity)
     # a full piece's partition names the piece itself
-    done = full.select("doc_id", "piece", "n_pieces", "tokens", F.lit(-1).alias("round"), F.col("doc_id").alias("part"), F.col("piece").alias("bin"), F.lit(0).alias("gap"))
+    done = full.select("row", "doc_id", "piece", "n_pieces", "tokens", F.lit(-1).alias("round"), F.col("doc_id").alias("part"), F.col("piece").alias("bin"), F.lit(0).alias("gap"))
     rest = pieces.filter(F.col("tokens") < capacity)
-    names = ["doc_id", "piece", "n_pieces", "tokens", "round", F.col("part").cast("long").alias("part"), "bin", "gap"]
+    names = ["row", "doc_id", "piece", "n_pieces", "tokens", "round", F.col("part").cast("long").alias("part"), "bin", "gap"]
     for r in range(rounds):
         n = rest.count()
         if n == 0:
@@ -120,7 +122,7 @@ def pack(sizes: DataFrame, capacity: int, per_partition: int = PER_PARTITION, ro
         if last:
             break
         rest = packed.filter("gap > 0")
-    return done
+    return done.drop("row")
 
 
 def report(packed: DataFrame, capacity: int) -> DataFrame:

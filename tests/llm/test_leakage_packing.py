@@ -41,12 +41,12 @@ def test_search_equals_slow_search(data):
     run = data.draw(st.integers(2, 6))
     items = [(i, " ".join(w)) for i, w in enumerate(data.draw(st.lists(text, max_size=4)))]
     docs = [(i, " ".join(w)) for i, w in enumerate(data.draw(st.lists(text, max_size=6)))]
-    tables = leakage.Tables(items, run)
+    tables = leakage.Tables([(i, t) for i, t in items if len(t.split()) >= run], run)
     got = set(tables.search([words(t) for _, t in docs]))
     assert got == leaks_slowly(docs, items, run)
 
 
-def test_leaks(spark, monkeypatch):
+def test_leaks(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
@@ -65,11 +65,46 @@ def test_leaks(spark, monkeypatch):
     want = leaks_slowly([x[:2] for x in docs], [x[:2] for x in items], 12)
     assert want and {tuple(r) for r in leakage.leaks(d, e).collect()} == want
     assert leakage.leaks(d, e).count() == len(want)
-    monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 3)
-    assert {tuple(r) for r in leakage.leaks(d, e).collect()} == want
+    assert {tuple(r) for r in leakage.leaks(d, e, words_per_pass=90).collect()} == want
     assert leakage.leaks(d.limit(0), e).count() == leakage.leaks(d, e.limit(0)).count() == 0
 
 
+def test_long_passages_are_cut_with_an_overlap(spark):
+    long = [f"w{i}" for i in range(300)]
+    e = spark.createDataFrame([(1, " ".join(long)), (2, "a b")], "item_id long, passage string")
+    cut = leakage.pieces(e, 12, piece_words=50).collect()
+    assert len(cut) == 6 and all(12 <= r.n <= 61 and r.n == len(r.words.split()) for r in cut)
+    runs = {tuple(w[i : i + 12]) for w in (r.words.split() for r in cut) for i in range(len(w) - 11)}
+    assert runs == {tuple(long[i : i + 12]) for i in range(289)}
+
+
+def test_a_pattern_of_many_items(spark):
+    """A passage that many items share, and blocks that end most patterns."""
+    items = [(k, " ".join(["of", "the"] * 10 + [f"w{k % 5}"])) for k in range(300)]
+    tables = leakage.Tables(items, 12)
+    texts = ["of the " * 11, "x " + "of the " * 6 + "w3", "of the " * 5]
+    assert set(tables.search([t.split() for t in texts])) == leaks_slowly(list(enumerate(texts)), items, 12)
+
+
+def bound_slowly(sizes, capacity):
+    best = -(-int(sum(sizes)) // capacity)
+    for e in {0, *(s for s in sizes if 2 * s <= capacity)}:
+        x = [capacity if s > capacity - e else 0 if s < e else int(s) for s in sizes]
+        best = max(best, -(-sum(x) // capacity))
+        for k in (1, 2, 3, 4, 5, 7):
+            y = [v * k if (k + 1) * v % capacity == 0 else (k + 1) * v // capacity * capacity for v in x]
+            best = max(best, -(-sum(y) // (k * capacity)))
+    return best
+
+
+def test_bound_uses_every_threshold():
+    rng = np.random.RandomState(8)
+    for hi in (700, 1024):
+        sizes = rng.randint(1, hi, 1500)  # some 500 thresholds
+        assert len({s for s in sizes if 2 * s <= 1024}) > 300
+        assert packing.lower_bound(sizes, 1024) == bound_slowly(sizes, 1024)
+
+
 def bins_slowly(sizes, capacity):
     """Fewest bins, by search; for a handful of items."""
     best = [len(sizes)]
@@ -118,6 +153,12 @@ def test_pack(spark):
     total = sum(n or 0 for _, n in sizes)
     rep = packing.report(packed, 1024).first()
     assert rep.bins == len(used) and rep.tokens == total and rep.bins <= 1.03 * total / 1024 + rep.beyond_bound
+    # partitions with a gap exchange their items, and rows that repeat one document are spread as any others
+    wide = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.randint(200, 700, 600))], "doc_id long, tokens long")
+    exchanged = packing.pack(wide, 1024, per_partition=60).collect()
+    assert {r["round"] for r in exchanged} >= {0, 2} and len(exchanged) == 600
+    same = packing.pack(spark.range(2000).selectExpr("1L as doc_id", "300L as tokens"), 1024, per_partition=100)
+    assert same.count() == 2000 and same.groupBy("round", "part").count().agg({"count": "max"}).first()[0] < 300
     assert packing.pack(df.limit(0), 1024).count() == 0 and packing.report(packing.pack(df.limit(0), 1024), 1024).first().bins == 0
 
 
@@ -134,7 +175,7 @@ def test_token_counts(spark):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
     enc = tiktoken.Encoding("t", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = ["", None, "Hello world, l'été 2024!", "wörter und zahlen 12 " * 20_000]
+    texts = ["", None, "Hello world, l'été 2024!", "wörter und zahlen 12 " * 20_000, "mot" * 60_000, "a" * 150_000 + " b", "-- " * 50_000 + "fin de"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.tokens for r in token_counts(df).collect()}
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}

@@ -138,6 +138,29 @@ def page(rng, parts):
     return "\n".join(out)
 
 
+def test_patterns_equal_counting(spark):
+    rng = np.random.RandomState(9)
+    rows = [(sorted({f"w{i}" for i in rng.choice(12, rng.randint(1, 8))}), ["x", "y"][int(rng.randint(2))]) for _ in range(150)]
+    df = spark.createDataFrame(rows, "words array<string>, subject string")
+    for longest in (1, 2, 3):
+        want = {}
+        for ws, s in rows:
+            for k in range(1, longest + 1):
+                for c in combinations(ws, k):
+                    want.setdefault(c, Counter())[s] += 1
+        want = {(c, s): (sum(n.values()), m) for c, n in want.items() if sum(n.values()) >= 6 for s, m in n.items()}
+        got = subjects.patterns(df, ["x", "y"], longest, 6).collect()
+        assert {(tuple(r.words), r.subject): (r.n, r.freq) for r in got} == want and len(got) == len(want)
+
+
+def test_growth_is_bounded_by_the_longest_rule(spark):
+    """One sentence of forty telling words on forty pages has 2^40 patterns; only short ones are grown."""
+    words = [f"notice{i}" for i in range(40)]
+    rows = [(d, words, "law") for d in range(40)] + [(100 + d, [f"other{d % 2}"], "sport") for d in range(60)]
+    rules = subjects.mine(spark.createDataFrame(rows, "doc_id long, words array<string>, subject string")).collect()
+    assert {len(r.words) for r in rules} == {1} and len(rules) == 42
+
+
 def test_subjects(spark):
     rng = np.random.RandomState(4)
     docs, truth, labels = [], {}, []
