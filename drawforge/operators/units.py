@@ -8,6 +8,8 @@ rows. Units come with the figure, in a column of their own, or in words in the n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
+from math import gcd
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import strip
+from ..functions.ordering import spread_join
+from ..functions.text import let, strip
 from ..session import cut
 
 #: Unit -> (numerator, denominator) of its value in euro cents. 1 euro = 6.55957 francs.
@@ -47,8 +50,8 @@ SPELLINGS: dict[str, list[str]] = {
 BROADCAST_ROWS = 100_000
 #: Share of a spelling's length that its edits may weigh; spellings up to EXACT_UP_TO characters must be exact.
 MAX_EDITS, EXACT_UP_TO = 0.2, 4
-#: Figures of this size and more are left out: they are no payouts, and their cents may not fit 64 bits.
-LARGEST = 10**12
+#: Figures below this are held in millionths as 64-bit integers, larger ones as decimals of DIGITS digits before the point.
+LARGE, DIGITS = 10**12, 31
 
 
 def plain_spelling(c: Column) -> Column:
@@ -119,22 +122,30 @@ def alias_dictionary(spellings: DataFrame) -> DataFrame:
     return named.join(best, "form").select("spelling", F.col("b.unit").alias("unit"))
 
 
-def _joined(rows: DataFrame, dictionary: DataFrame, n: int, spelling: str, unit: str) -> DataFrame:
-    """Left join of the dictionary on column `spelling`; hot spellings never meet in one task while it is small."""
-    small = dictionary.select(F.col("spelling").alias(spelling), F.col("unit").alias(unit))
-    return rows.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, spelling, "left")
+def _joined(rows: DataFrame, dictionary: DataFrame, spelling: str, unit: str) -> DataFrame:
+    """Left join of the dictionary on column `spelling`; hot spellings never meet in one task."""
+    return spread_join(rows, dictionary.select(F.col("spelling").alias(spelling), F.col("unit").alias(unit)), spelling, BROADCAST_ROWS)
 
 
-def split_figure(c: Column) -> tuple[Column, Column]:
-    """(number decimal(18,6), unit text) of a written figure: "12 345,6 kF", "€9.5", "1.234.567".
+def unit_text(c: Column) -> Column:
+    """What a written figure has beside its one number; null where that is nothing."""
+    rest = strip(F.regexp_replace(c, _RUN, " "))
+    return F.when(rest != "", rest)
 
-    Null number where no figure is written. Thousands may be parted by blanks or points (commas where a point or
-    a second group follows); what remains of commas is the decimal mark. The unit text is null where there is none.
+
+#: Digits, and what may stand between them in one number.
+_RUN = "[0-9](?:[0-9 .,\\u00a0\\u202f]*[0-9])?"
+
+
+def plain_number(c: Column) -> Column:
+    """The number of a written figure ("12 345,6 kF", "€9.5", "1.234.567") as digits with at most one point.
+
+    Null where no figure, or more than one, is written. Thousands may be parted by blanks or points (commas where a
+    point or a second group follows); what remains of commas is the decimal mark.
     """
-    text = strip(c)
-    shape = "^([^0-9]*)([0-9](?:[0-9 .,\\u00a0\\u202f]*[0-9])?)([^0-9]*)$"
-    unit = strip(F.concat_ws(" ", F.regexp_extract(text, shape, 1), F.regexp_extract(text, shape, 3)))
-    digits = F.regexp_replace(F.regexp_extract(text, shape, 2), "[ \\u00a0\\u202f]", "")
+    run = F.regexp_extract(c, _RUN, 0)
+    one = F.length(F.regexp_replace(c, _RUN, "")) == F.length(c) - F.length(run)
+    digits = F.when((run != "") & one, F.regexp_replace(run, "[ \\u00a0\\u202f]", ""))
     by_points = digits.rlike("^[0-9]{1,3}([.][0-9]{3})+(,[0-9]+)?$")
     by_commas = digits.rlike("^[0-9]{1,3}(,[0-9]{3})+[.][0-9]+$|^[0-9]{1,3}(,[0-9]{3}){2,}$")
     plain = (
@@ -142,28 +153,47 @@ def split_figure(c: Column) -> tuple[Column, Column]:
         .when(by_commas, F.replace(digits, F.lit(","), F.lit("")))
         .otherwise(F.translate(digits, ",", "."))
     )
-    number = F.when(plain.rlike("^[0-9]{1,12}([.][0-9]+)?$"), plain.try_cast("decimal(18,6)"))
-    return number, F.when(unit != "", unit)
+    # most figures are plain digits
+    return F.when(c.rlike("^[0-9]+$"), c).otherwise(let(plain, lambda t: F.when(t.rlike("^[0-9]+([.][0-9]+)?$"), t)))
+
+
+def written_amount(plain: Column) -> tuple[Column, Column]:
+    """(millionths as a 64-bit integer, the amount as decimal(38,6)) of a plain number; one of them is null, the first
+    from LARGE on. More than DIGITS digits before the point count as so many nines: in no unit do their cents fit."""
+    whole = F.ltrim(F.substring_index(plain, ".", 1), F.lit("0"))
+    small = F.length(whole) < len(str(LARGE))
+    fits = F.when(F.length(whole) > DIGITS, F.lit("9" * DIGITS)).otherwise(plain)
+    micro = F.when(plain.contains("."), (plain.try_cast("decimal(18,6)") * F.lit(10**6)).cast("bigint")).otherwise(plain.try_cast("bigint") * 10**6)
+    return F.when(small, micro), F.when(~small, fits.try_cast("decimal(38,6)"))
+
+
+def double_amount(v: Column) -> tuple[Column, Column]:
+    """`written_amount` of a double; null for null, NaN and negative ones."""
+    known, small = ~F.isnan(v) & (v >= 0), v < LARGE
+    micro = F.when(v == F.floor(v), v.cast("bigint") * 10**6).otherwise((v.cast("decimal(18,6)") * F.lit(10**6)).cast("bigint"))
+    fits = F.when(v >= 10.0**DIGITS, F.lit("9" * DIGITS).cast("decimal(38,6)")).otherwise(v.try_cast("decimal(38,6)"))
+    return F.when(known & small, micro), F.when(known & ~small, fits)
 
 
-def cents(number: Column, unit: Column) -> Column:
-    """`number` (decimal(18,6), not negative) of `unit` in euro cents, rounded half up, in exact arithmetic."""
+def cents(micro: Column, large: Column, unit: Column) -> Column:
+    """An amount of `unit` in euro cents, rounded half up, in exact arithmetic; null where 64 bits do not hold it.
+
+    The amount is `micro` millionths, or `large` where that is null. Products that fit 64 bits are worked out so, others
+    as decimals of 38 digits.
+    """
     out = F.lit(None).cast("bigint")
-    n = (number * F.lit(10**6)).cast("decimal(18,0)")
+    n = F.coalesce(micro.cast("decimal(38,0)"), F.when(large < F.lit(Decimal(10**24)), (large * F.lit(10**6)).cast("decimal(38,0)")))
     for name, (num, den) in UNITS.items():
-        scale = den * 10**6
-        twice = (n * F.lit(2 * num).cast("decimal(14,0)") + F.lit(scale).cast("decimal(14,0)")).cast("decimal(38,0)")
-        fits = twice < F.lit(2 * scale).cast("decimal(14,0)") * F.lit(9 * 10**18).cast("decimal(20,0)")
-        out = F.when((unit == name) & fits, _div(twice, 2 * scale)).otherwise(out)
+        common = gcd(num, den * 10**6)
+        a, b = 2 * num // common, den * 10**6 // common
+        top = n * F.lit(a).cast("decimal(8,0)") + F.lit(b).cast("decimal(14,0)")
+        wide = F.lit(2 * b).cast("decimal(14,0)")
+        by_decimals = F.when(top < wide * F.lit(Decimal(2**63)), ((top - top % wide) / wide).cast("bigint"))
+        by_integers = F.call_function("div", micro * a + b, F.lit(2 * b).cast("bigint"))
+        out = F.when(unit == name, F.when(micro <= (2**63 - 1 - b) // a, by_integers).otherwise(by_decimals)).otherwise(out)
     return out
 
 
-def _div(a: Column, b: int) -> Column:
-    """Integer part of a / b; b is positive, a is not negative."""
-    d = F.lit(b).cast("decimal(14,0)")
-    return ((a - a % d) / d).cast("bigint")
-
-
 def note_units(sources: DataFrame) -> DataFrame:
     """(source_code, first_year, last_year, spelling): unit phrases of the notes with the years they hold for.
 
@@ -217,7 +247,7 @@ def note_dictionary(sources: DataFrame) -> DataFrame:
 
 
 def payout_figures(reports: DataFrame, sources: DataFrame) -> DataFrame:
-    """(row_id, rang, number, unit, cents) of every figure of `payout_reports` that can be read.
+    """(row_id, rang, positive, number, unit, cents) of every figure of `payout_reports` that can be read.
 
     The unit is the one written with the figure, else that of `devise`, else that of the source's note for the year
     of the draw, else euro. A unit text or `devise` that no known spelling is near to counts as none.
@@ -227,39 +257,47 @@ def payout_figures(reports: DataFrame, sources: DataFrame) -> DataFrame:
         F.substring(strip(F.col("annee_numero")), 1, 4).try_cast("int").alias("year"),
         "source_code",
         F.when(strip(F.col("devise")) != "", strip(F.col("devise"))).alias("devise"),
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rang"), F.col(f"rapport_du_rang{r}").alias("t")) for r in (1, 2)])).alias("f"),
-    )
-    number, unit = split_figure(F.col("f.t"))
-    long = long.select("row_id", "year", "source_code", "devise", "f.rang", number.alias("number"), unit.alias("written"))
-    long = long.filter("number is not null")
+        F.explode(F.array(*[F.struct(F.lit(r).alias("rang"), strip(F.col(f"rapport_du_rang{r}")).alias("t")) for r in (1, 2)])).alias("f"),
+    ).select("row_id", "year", "source_code", "devise", "f.rang", "f.t")
+    long = long.withColumn("written", unit_text(F.col("t")))
+    # the spellings need no number: what is beside a figure that cannot be read is no unit, or does no harm
     dictionary = cut(alias_dictionary(long.select(F.explode(F.array("written", "devise")).alias("spelling"))))
-    n = dictionary.count()
+    micro, large = written_amount(F.col("plain"))
+    long = long.withColumn("plain", plain_number(F.col("t"))).filter("plain is not null")
+    long = long.select("row_id", "year", "source_code", "devise", "rang", "written", micro.alias("micro"), large.alias("large"))
     notes = cut(note_dictionary(sources))
     small = notes.count() <= BROADCAST_ROWS
     spans = notes.select(F.col("source_code").alias("_s"), "first_year", "last_year", "note_unit")
-    known = _joined(_joined(long, dictionary, n, "written", "unit_1"), dictionary, n, "devise", "unit_2")
+    known = _joined(_joined(long, dictionary, "written", "unit_1"), dictionary, "devise", "unit_2")
     year_fits = F.col("year").between(F.col("first_year"), F.col("last_year"))
     told = known.join(F.broadcast(spans) if small else spans, (F.col("source_code") == F.col("_s")) & year_fits, "left")
-    unit = F.coalesce("unit_1", "unit_2", "note_unit", F.lit(PLAIN))
-    return told.select("row_id", "rang", "number", unit.alias("unit")).withColumn("cents", cents(F.col("number"), F.col("unit")))
+    return _converted(told, F.coalesce("unit_1", "unit_2", "note_unit", F.lit(PLAIN)))
+
+
+def _converted(figures: DataFrame, unit: Column) -> DataFrame:
+    """(row_id, rang, positive, number, unit, cents) of figures with micro, large."""
+    number = F.coalesce("large", F.col("micro").cast("decimal(38,6)") / F.lit(10**6)).cast("decimal(38,6)")
+    figures = figures.select("row_id", "rang", "micro", "large", unit.alias("unit"))
+    positive = F.coalesce(F.col("micro") > 0, F.lit(True))
+    return figures.select("row_id", "rang", positive.alias("positive"), number.alias("number"), "unit", cents(F.col("micro"), F.col("large"), F.col("unit")).alias("cents"))
 
 
 def draw_figures(tirages: DataFrame) -> DataFrame:
-    """(row_id, rang, number, unit, cents) of the payouts of ranks 1 and 2 of `tirages`; null and NaN are left out."""
+    """The same of the payouts of ranks 1 and 2 of `tirages`; null, NaN and negative ones are left out."""
     long = tirages.select(
         F.col("id").alias("row_id"),
         F.when(strip(F.col("devise")) != "", strip(F.col("devise"))).alias("devise"),
         F.explode(F.array(*[F.struct(F.lit(r).alias("rang"), F.col(f"rapport_rang{r}").alias("v")) for r in (1, 2)])).alias("f"),
-    ).select("row_id", "devise", "f.rang", F.when((F.col("f.v") >= 0) & (F.col("f.v") < LARGEST), F.col("f.v").cast("decimal(18,6)")).alias("number"))
-    long = long.filter("number is not null")
+    ).select("row_id", "devise", "f.rang", "f.v")
+    micro, large = double_amount(F.col("v"))
+    long = long.select("row_id", "devise", "rang", micro.alias("micro"), large.alias("large")).filter("micro is not null or large is not null")
     dictionary = cut(alias_dictionary(tirages.select(strip(F.col("devise")).alias("spelling")).filter("spelling <> ''")))
-    known = _joined(long, dictionary, dictionary.count(), "devise", "unit")
-    known = known.withColumn("unit", F.coalesce("unit", F.lit(PLAIN)))
-    return known.select("row_id", "rang", "number", "unit").withColumn("cents", cents(F.col("number"), F.col("unit")))
+    return _converted(_joined(long, dictionary, "devise", "unit"), F.coalesce("unit", F.lit(PLAIN)))
 
 
 def in_cents(reports: DataFrame, sources: DataFrame, tirages: DataFrame) -> DataFrame:
-    """(src_table, row_id, rang, number, unit, cents) of all payouts of both tables."""
+    """(src_table, row_id, rang, positive, number, unit, cents) of all payouts of both tables. Figures that 64 bits do not
+    hold in cents come out with null cents."""
     a = payout_figures(reports, sources).select(F.lit("payout_reports").alias("src_table"), "*")
     b = draw_figures(tirages).select(F.lit("tirages").alias("src_table"), "*")
     return a.unionByName(b)

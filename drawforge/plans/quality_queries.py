@@ -23,7 +23,7 @@ def p2_table(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     all_ = units.in_cents(*(table(spark, root, t) for t in ("payout_reports", "sources", "tirages")))
-    cases = all_.filter((F.col("number") > 0) & (F.col("unit") != units.PLAIN))
+    cases = all_.filter(F.col("positive") & (F.col("unit") != units.PLAIN))
     return cases.select("src_table", F.col("row_id").cast("long").alias("row_id"), "rang", "cents")
 
 
