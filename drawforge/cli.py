@@ -6,8 +6,10 @@ import argparse
 import os
 import sys
 
+from pyspark.errors import AnalysisException
+
 from .plans import pipeline
-from .session import local_session
+from .session import session
 from .sources import draw_files
 
 
@@ -16,20 +18,25 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("files", nargs="+")
     p.add_argument("--table", required=True, help="folder of the table the draws are kept in")
     p.add_argument("--output-dir", default=".")
+    p.add_argument("--validate", action="store_true", help="write the validation report only; its result is the exit code")
     p.add_argument("--reset", action="store_true", help="empty the table first")
     a = p.parse_args(argv)
-    spark = local_session()
+    spark = session()
     lines = draw_files.read_lines(spark, a.files)
-    held = None if a.reset or not os.path.isdir(a.table) else spark.read.parquet(a.table)
+    try:
+        held = None if a.reset else spark.read.parquet(a.table)
+    except AnalysisException:  # no table yet
+        held = None
     rows, counters = draw_files.load(lines, held)
     counters.show()
     draw_files.store(rows, a.table, a.reset)
     table = spark.read.parquet(a.table)
-    if table.isEmpty():
-        print("no draws", file=sys.stderr)
-        return 1
     os.makedirs(a.output_dir, exist_ok=True)
-    pipeline.write_report(pipeline.bundle(draw_files.draws_of(table)), a.output_dir)
+    draws = draw_files.draws_of(table)
+    failed = pipeline.write_validation(pipeline.validation(draws, lines), a.output_dir)
+    if a.validate or table.isEmpty():
+        return failed
+    pipeline.write_report(pipeline.bundle(draws), a.output_dir)
     return 0
 
 

@@ -24,12 +24,19 @@ def _length(ordered: DataFrame) -> DataFrame:
 
 
 def binary_series(ordered: DataFrame) -> DataFrame:
-    """(ball, n, hits): the positions at which a ball is drawn; all others are 0. Balls never drawn have none."""
+    """(ball, n, hits): length and sum of each ball's 0/1 series."""
     seen = occurrences(ordered, "di").select("ball", "di").distinct()
     per = seen.groupBy("ball").agg(F.count("*").alias("hits"))
     return ball_domain(ordered).join(per, "ball", "left").join(_length(ordered)).select("ball", "n", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
+def ball_series(ordered: DataFrame) -> DataFrame:
+    """(ball, di, hit): the 0/1 series of every ball, 49 rows a draw, made within the draw's row."""
+    drawn = F.array(*BALLS)
+    all_ = F.transform(F.sequence(F.lit(1), F.lit(MAX_BALL)), lambda b: F.struct(b.cast("int").alias("ball"), F.coalesce(F.array_contains(drawn, b), F.lit(False)).cast("int").alias("hit")))
+    return ordered.select("di", F.explode(all_).alias("x")).select("x.ball", "di", "x.hit")
+
+
 def acf(ordered: DataFrame, max_lags: int = 50) -> DataFrame:
     """(ball, lag, r) for lags 0 to min(n / 2, 50) - 1: mean product of deviations at the lag, over the variance.
 
@@ -45,8 +52,8 @@ def acf(ordered: DataFrame, max_lags: int = 50) -> DataFrame:
         di = frame["di"].to_numpy()
         own = di >= int(frame["block"].iloc[0]) * 4096
         x = np.zeros((len(di), MAX_BALL + 1), dtype=np.int32)
-        for i, balls in enumerate(frame["balls"]):
-            x[i, np.asarray(balls, dtype=int)] = 1
+        many = [len(b) for b in frame["balls"]]
+        x[np.repeat(np.arange(len(di)), many), np.concatenate([*frame["balls"], np.zeros(0)]).astype(int)] = 1
         out = []
         for lag in range(1, max_lags):
             here = np.flatnonzero(own & (np.arange(len(di)) >= lag))
@@ -201,18 +208,30 @@ def dft_peaks(ordered: DataFrame, longest: int | None = None, top: int = 5) -> D
 
 
 def summary(ordered: DataFrame) -> DataFrame:
-    """(ball, rate, n_lags, n_periods, cyclic, rank): significant lags (first 10 at most 5 count) and periods.
+    """(ball, rate, n_lags, n_periods, lags, periods, cyclic, rank): significant lags and periods of each ball.
+
+    `lags` are the first ten significant ones, `periods` those of the three strongest peaks, both as text.
 
     A lag is significant if |r| > 1.96 / sqrt(n). A ball with both is cyclic; cyclic balls are ranked by the number
     of both, the smaller ball first. Fewer than 20 draws have no rows.
     """
     n = _length(ordered)
     r = acf(ordered).filter("lag >= 1").join(n)
-    lags = r.filter(F.abs("r") > F.lit(1.96) / F.sqrt("n")).groupBy("ball").agg(F.count("*").alias("n_lags"))
-    periods = dft_peaks(ordered).groupBy("ball").agg(F.count("*").alias("n_periods"))
+    lags = r.filter(F.abs("r") > F.lit(1.96) / F.sqrt("n")).groupBy("ball")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    # at most 49 lags and five periods a ball
+    lags = lags.agg(F.count("*").alias("n_lags"), text(F.slice(F.sort_array(F.collect_list("lag")), 1, 10)).alias("lags"))
+    ranked = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("rank", "period"))), 1, 3), lambda x: x["period"])
+    periods = dft_peaks(ordered).groupBy("ball").agg(F.count("*").alias("n_periods"), text(ranked).alias("periods"))
     base = binary_series(ordered).filter("n >= 20").select("ball", (F.col("hits") / F.col("n")).alias("rate"))
-    all_ = base.join(lags, "ball", "left").join(periods, "ball", "left").fillna(0, ["n_lags", "n_periods"])
+    all_ = base.join(lags, "ball", "left").join(periods, "ball", "left").fillna(0, ["n_lags", "n_periods"]).fillna("", ["lags", "periods"])
     all_ = all_.withColumn("cyclic", (F.col("n_lags") > 0) & (F.col("n_periods") > 0))
     score = F.least("n_lags", F.lit(5)) + F.least("n_periods", F.lit(5))
     rank = F.when(F.col("cyclic"), F.row_number().over(W.partitionBy("cyclic").orderBy(F.desc(score), "ball")))
-    return all_.withColumn("rank", rank)
+    return all_.select("ball", "rate", "n_lags", "n_periods", "lags", "periods", "cyclic", rank.alias("rank"))
+
+
+def verdict(summary: DataFrame, draws: int) -> str:
+    """One line on the balls that a summary finds cyclic."""
+    n = summary.filter("cyclic").count()
+    return f"{n} numéro(s) cyclique(s) détecté(s) sur {draws} tirages." if n else "Aucun cycle significatif : compatible avec du bruit blanc."

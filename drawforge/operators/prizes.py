@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from ..schema import MAX_BALL, NUM_BALLS, RANKS
 
 TOTAL = comb(MAX_BALL, NUM_BALLS)
+#: Labels of the nine ranks.
+LABELS = [
+    "Jackpot (5+chance)",
+    "5 bons",
+    "4 bons",
+    "3 bons",
+    "2 bons + chance",
+    "2 bons",
+    "1 bon + chance",
+    "1 bon",
+    "Match nul (5num, chance libre)",
+]
 #: Probability of each rank as observed; from rank 3 on it is not that of a draw.
 OBSERVED_ODDS = [
     1 / (TOTAL * 10),
@@ -33,9 +45,9 @@ INTENDED_ODDS = [_hit(5) / 10, _hit(5) * 0.9, _hit(4) * 0.9, _hit(3) * 0.9, _hit
 
 
 def odds(spark, mode: str = "observed") -> DataFrame:
-    """(rang, p), nine rows."""
+    """(rang, label, p), nine rows."""
     values = OBSERVED_ODDS if mode == "observed" else INTENDED_ODDS
-    return spark.createDataFrame([(i + 1, float(p)) for i, p in enumerate(values)], "rang int, p double")
+    return spark.createDataFrame([(i + 1, LABELS[i], float(p)) for i, p in enumerate(values)], "rang int, label string, p double")
 
 
 def long_prizes(tirages: DataFrame) -> DataFrame:
@@ -45,7 +57,7 @@ def long_prizes(tirages: DataFrame) -> DataFrame:
 
 
 def by_rank(tirages: DataFrame, mode: str = "observed") -> DataFrame:
-    """One row per rank: draws, won, players, stake, paid, roi_pct, share, mean_won, mean_all, p, gap, gap_pct.
+    """One row per rank: label, draws, won, players, stake, paid, roi_pct, share, mean_won, mean_all, p, gap, gap_pct.
 
     A draw counts for return if it has winners and a payout. players = whole part of the winners over the rank's
     odds; paid is the sum of payouts per winner (observed) or winners times payout (intended). Ranks without such a
@@ -71,6 +83,7 @@ def by_rank(tirages: DataFrame, mode: str = "observed") -> DataFrame:
     share = F.coalesce(F.col("won") / F.greatest("draws", F.lit(1)), F.lit(0.0))
     return r.select(
         "rang",
+        "label",
         F.coalesce("draws", F.lit(0)).alias("draws"),
         F.coalesce("won", F.lit(0)).alias("won"),
         F.coalesce("paying", F.lit(0)).alias("paying"),

@@ -34,6 +34,21 @@ def unsorted_combination(mode: str = "observed") -> Column:
     return F.coalesce((c != "") & (numbers != F.array_sort(numbers)), F.lit(False))
 
 
+def errors(rows: DataFrame, mode: str = "observed") -> DataFrame:
+    """(error): one text for every fault of the loaded rows, one for each repeated key; an empty table is one fault."""
+    one = summary(rows, mode)
+    texts = F.array_compact(
+        F.array(
+            F.when(F.col("rows") == 0, "Aucun tirage en base — chargez les CSV d'abord."),
+            F.when(F.col("zero_balls") > 0, "Boules a zero detectees"),
+            F.when(F.col("missing_dates") > 0, "Dates manquantes detectees"),
+            F.when(F.col("unsorted") > 0, F.format_string("%d combinaison(s) non triee(s)", F.col("unsorted"))),
+        )
+    )
+    twice = duplicate_keys(rows).select(F.format_string("Doublon: %s", F.coalesce("annee_numero", F.lit("None"))).alias("error"))
+    return one.select(F.explode(texts).alias("error")).unionByName(twice)
+
+
 def summary(rows: DataFrame, mode: str = "observed") -> DataFrame:
     """One row: rows, duplicates, zero_balls, missing_dates, unsorted, status (SUCCES or ECHEC)."""
     one = rows.agg(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import BALLS, NUM_BALLS
+from ..schema import BALLS, MAX_BALL, NUM_BALLS
 
 DECADES = ["1-10", "11-20", "21-30", "31-40", "41-49"]
 
@@ -144,3 +146,14 @@ def spearman_positions(draws: DataFrame) -> DataFrame:
     )
     rho = F.try_divide(F.col("xy").cast("double"), F.sqrt(F.col("xx").cast("double")) * F.sqrt(F.col("yy").cast("double")))
     return sums.filter("n >= 10").select((F.col("p") + 1).alias("i"), (F.col("pj") + 1).alias("j"), rho.alias("rho"))
+
+
+def parity_against_fair(draws: DataFrame) -> DataFrame:
+    """(evens, drawn, fair): draws by number of even balls, and how many of as many fair draws are expected to have it."""
+    evens = sum((F.when(F.col(b) % 2 == 0, 1).otherwise(0) for b in BALLS), F.lit(0))
+    per = draws.groupBy(evens.alias("evens")).agg(F.count("*").alias("drawn"))
+    even = MAX_BALL // 2
+    chance = [(k, comb(even, k) * comb(MAX_BALL - even, NUM_BALLS - k) / comb(MAX_BALL, NUM_BALLS)) for k in range(NUM_BALLS + 1)]
+    fair = draws.sparkSession.createDataFrame(chance, "evens int, p double")  # six rows
+    n = F.broadcast(draws.agg(F.count("*").alias("n")))
+    return F.broadcast(fair).join(per, "evens", "left").join(n).select("evens", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.col("n") * F.col("p")).alias("fair"))

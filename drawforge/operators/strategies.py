@@ -25,7 +25,8 @@ STAKE, JACKPOT, FIVE, FOUR = 2.0, 5_000_000, 1_000_000, 150
 TICKETS = "di long, strategy string, ticket int, b1 int, b2 int, b3 int, b4 int, b5 int, chance int, matches int, hit_chance boolean"
 _FAR = np.iinfo(np.int64).max
 
-Main = Callable[[Trailing, int], tuple[np.ndarray, np.ndarray]]
+#: A strategy for the main balls of chance tickets: a block of draws and a seed give five balls, rising, for each own draw.
+Main = Callable[[Trailing, int], np.ndarray]
 
 
 def _rows(t: Trailing, keep: np.ndarray, strategy: str, ticket: int, balls: np.ndarray, chance: np.ndarray | None) -> pd.DataFrame:
@@ -184,6 +185,20 @@ def backtest(ordered: DataFrame, strategies: list[Strategy]) -> DataFrame:
     return all_.select("strategy", "invested", F.col("won").cast("long").alias("won"), net.alias("net"), roi.alias("roi_pct"), "max_win", "winning_draws", "draws_evaluated")
 
 
+def winning_dates(ordered: DataFrame, daily: DataFrame, first: int = 10) -> DataFrame:
+    """(strategy, nth, di, date_tirage, won) of the `first` earliest draws that each strategy of `daily` wins in.
+
+    `daily` has the columns of `per_draw`. A strategy has as many rows as it wins draws, `first` at most.
+    """
+    wins = F.array_sort(F.collect_list(F.struct("di", "won")))
+    # wins are cut down by ranges of draws first, so that no task holds all wins of a strategy
+    some = daily.filter("won > 0").groupBy("strategy", F.floor(F.col("di") / 4096)).agg(F.slice(wins, 1, first).alias("w"))
+    early = W.partitionBy("strategy").orderBy("di")
+    some = some.select("strategy", F.explode("w").alias("w")).select("strategy", "w.*").withColumn("nth", F.row_number().over(early)).filter(F.col("nth") <= first)
+    # a few rows for each strategy
+    return F.broadcast(some).join(ordered.select("di", "date_tirage"), "di").select("strategy", "nth", "di", "date_tirage", "won")
+
+
 def balance(daily: DataFrame, width: int = 65_536) -> DataFrame:
     """(strategy, di, balance): won less invested up to and including each draw; sums run within blocks of draws."""
     d = daily.withColumn("b", F.floor(F.col("di") / width)).withColumn("x", F.col("won") - F.col("cost"))
@@ -231,7 +246,12 @@ def chance_order(t: Trailing, method: str, seed: int, mode: str = "default") ->
 METHODS = ["frequency", "day_conditional", "recent"]
 
 
-def _chance_emit(t: Trailing, method: str, mode: str, n: int = 3) -> pd.DataFrame:
+def default_main(t: Trailing, seed: int) -> np.ndarray:
+    """Five balls by weights (count + 1)^-1 over the last 200 draws."""
+    return weighted_balls(t, 200, 1.0, seed)
+
+
+def _chance_emit(t: Trailing, method: str, mode: str, main: Main = default_main, n: int = 3) -> pd.DataFrame:
     keep = _own(t, CHANCE_WARM_UP)
     m = len(t.own)
     base = 50_000 + 100 * METHODS.index(method)
@@ -241,7 +261,7 @@ def _chance_emit(t: Trailing, method: str, mode: str, n: int = 3) -> pd.DataFram
     for attempt in range(1, 3 * n + 1):
         if (have >= n).all():
             break
-        combo = weighted_balls(t, 200, 1.0, base + attempt)
+        combo = main(t, base + attempt)
         two = chance_order(t, method, base + 50 + attempt, mode)
         for j in range(2):
             new = have < n
@@ -263,19 +283,22 @@ def _chance_emit(t: Trailing, method: str, mode: str, n: int = 3) -> pd.DataFram
     return pd.concat(parts, ignore_index=True)
 
 
-def chance_tickets(ordered: DataFrame, methods: list[str] | None = None, mode: str = "default") -> DataFrame:
-    """Three tickets with chance numbers per draw from position 50 on, and the baseline's as "<method>/random"."""
+def chance_tickets(ordered: DataFrame, methods: list[str] | None = None, mode: str = "default", main: Main = default_main) -> DataFrame:
+    """Three tickets with chance numbers per draw from position 50 on, and the baseline's as "<method>/random".
+
+    `main` chooses the five balls (`hot_balls` and `weighted_balls` with their parameters set are such strategies).
+    """
     methods = METHODS if methods is None else methods
     for m in methods:
         if m not in METHODS:
             raise ValueError(f"unknown method {m!r}")
-    return over_blocks(ordered, 200, lambda t: pd.concat([_chance_emit(t, m, mode) for m in methods], ignore_index=True), TICKETS)
+    return over_blocks(ordered, 200, lambda t: pd.concat([_chance_emit(t, m, mode, main) for m in methods], ignore_index=True), TICKETS)
 
 
-def chance_backtest(ordered: DataFrame, methods: list[str] | None = None, mode: str = "default") -> DataFrame:
+def chance_backtest(ordered: DataFrame, methods: list[str] | None = None, mode: str = "default", main: Main = default_main) -> DataFrame:
     """One row per method: invested, won, roi_pct, random_invested, random_won, random_roi_pct, improvement, avg_tickets."""
     methods = METHODS if methods is None else methods
-    daily = per_draw(chance_tickets(ordered, methods, mode))
+    daily = per_draw(chance_tickets(ordered, methods, mode, main))
     side = F.element_at(F.split("strategy", "/"), 1).alias("method")
     luck = F.col("strategy").contains("/")
     per = daily.groupBy(side).agg(
@@ -292,22 +315,6 @@ def chance_backtest(ordered: DataFrame, methods: list[str] | None = None, mode:
     return all_.withColumn("improvement", F.col("roi_pct") - F.col("random_roi_pct"))
 
 
-def simulated_parity(ordered: DataFrame, seed: int = 42) -> DataFrame:
-    """(evens, drawn, simulated): draws by number of even balls, and as many simulated fair draws, one per draw."""
-
-    def kernel(t: Trailing) -> pd.DataFrame:
-        u = uniform(t.di[t.own][:, None], np.arange(MAX_BALL + 1)[None, :], seed)
-        u[:, 0] = np.inf
-        fair = (_smallest(u) % 2 == 0).sum(axis=1)
-        drawn = (t.balls[t.own] % 2 == 0).sum(axis=1)
-        k = np.arange(NUM_BALLS + 1)
-        count = lambda x: (x[:, None] == k).sum(axis=0)
-        return pd.DataFrame({"evens": k, "drawn": count(drawn), "simulated": count(fair)})
-
-    per = over_blocks(ordered, 0, kernel, "evens int, drawn long, simulated long")
-    return per.groupBy("evens").agg(F.sum("drawn").alias("drawn"), F.sum("simulated").alias("simulated"))
-
-
 def custom_tickets(ordered: DataFrame, choose: Callable[[pd.DataFrame], list[list[int]]], window: int = 200) -> DataFrame:
     """Tickets of a caller's own strategy: `choose` gets the window before a draw and returns combinations.
 

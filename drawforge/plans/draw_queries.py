@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters, combos, frequency, markov, periodicity, prizes, quality, stats, strategies
 from ..operators.views import first_valid, occurrences, ordered_draws
-from ..schema import BALLS
+from ..schema import BALLS, LAYOUT
+from ..sources import draw_files
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,17 +125,19 @@ _add(
 )
 _CHI = """, q as (select a, b, cnt, n, n * cast({rate!r} as double) as e from p cross join nn),
     c as (select *, greatest(cast(0 as double), abs(cnt - e) / 2 - cast(0.5 as double)) as h from q),
-    z as (select *, h * h * (4 / (cnt + e) + 4 / (2 * n - (cnt + e))) as x from c)
-    select a, b, cnt, round(e, 6) as expected, round(x, 6) as chi2, x > 3.841458820694124::double as p05, x > 6.634896601021214::double as p01 from z"""
+    z as (select *, h * h * (4 / (cnt + e) + 4 / (2 * n - (cnt + e))) as x from c),
+    t as (select *, 1 / (1 + sqrt(x / 2) / 2) as t from z)
+    select a, b, cnt, round(e, 6) as expected, round(x, 6) as chi2, round(t * exp(-x / 2 + {fit}), 6) as p_value, x > 3.841458820694124::double as p05, x > 6.634896601021214::double as p01 from t"""
+_FIT = "".join(f"{c!r}::double + t * (" for c in combos.ERFC_FIT[:-1]) + f"{combos.ERFC_FIT[-1]!r}::double" + ")" * (len(combos.ERFC_FIT) - 1)
 _add(
     "pair_chi2",
-    lambda s, r: _rounded(combos.pair_significance(_first(s, r)), "expected", "chi2"),
-    f"{_PAIRS}, p as (select a, b + 1 as b, cnt from pc where b + 1 <= 49 order by cnt desc, a, b limit 50)" + _CHI.format(rate=(5 / 49) ** 2 * 2),
+    lambda s, r: _rounded(combos.pair_significance(_first(s, r)), "expected", "chi2", "p_value"),
+    f"{_PAIRS}, p as (select a, b + 1 as b, cnt from pc where b + 1 <= 49 order by cnt desc, a, b limit 50)" + _CHI.format(rate=(5 / 49) ** 2 * 2, fit=_FIT),
 )
 _add(
     "pair_chi2_intended",
-    lambda s, r: _rounded(combos.pair_significance(_first(s, r), "intended"), "expected", "chi2"),
-    f"{_PAIRS}, p as (select a, b, cnt from pc where a < b order by cnt desc, a, b limit 50)" + _CHI.format(rate=20 / (49 * 48)),
+    lambda s, r: _rounded(combos.pair_significance(_first(s, r), "intended"), "expected", "chi2", "p_value"),
+    f"{_PAIRS}, p as (select a, b, cnt from pc where a < b order by cnt desc, a, b limit 50)" + _CHI.format(rate=20 / (49 * 48), fit=_FIT),
 )
 
 # distributions
@@ -216,23 +219,47 @@ _add(
     "select r.ball::int as ball, n, count(distinct di) as hits from range(1, 50) r(ball) left join occ on occ.ball = r.ball cross join nn group by r.ball, n",
 )
 _add(
-    "acf",
-    lambda s, r: _rounded(periodicity.acf(_ordered(s, r)), "r"),
-    """+ h as (select distinct ball, di from occ),
+    "ball_series",
+    lambda s, r: periodicity.ball_series(_ordered(s, r)),
+    "+ h as (select distinct ball, di from occ) select r.ball::int as ball, dd.di, (h.di is not null)::int as hit from range(1, 50) r(ball) cross join (select di from d) dd left join h on h.ball = r.ball and h.di = dd.di",
+)
+#: ac(ball, lag, r): autocorrelation of every ball's series.
+_ACF = """+ h as (select distinct ball, di from occ),
     g as (select r.ball::int as ball, di, (h.di is not null)::int as x from range(1, 50) r(ball) cross join (select di from d) dd left join h using (ball, di)),
     m as (select ball, avg(x) as mu, var_pop(x) as va from g group by ball),
     hp as (select a.ball, b.di - a.di as lag, count(*) as c from h a join h b on a.ball = b.ball and b.di - a.di between 1 and 49 group by 1, 2),
     l as (select r.lag::int as lag from range(50) r(lag) cross join nn where r.lag < least(n // 2, 50)),
     e as (select ball, lag, sum(x) filter (di < n - lag) as hd, sum(x) filter (di >= lag) as tl from g cross join l cross join nn
           where di < 50 or di >= n - 50 group by 1, 2),
-    w as (select ball, sum(x) filter (di >= 50 and di < n - 50) as mid from g cross join nn group by 1)
-    select m.ball, l.lag, round(case when va < 1e-12 then 0 when l.lag = 0 then 1 else
-      (coalesce(c, 0) - mu * (coalesce(hd, 0) + coalesce(tl, 0) + 2 * coalesce(mid, 0)) + (n - l.lag) * mu * mu) / (n - l.lag) / va end, 6) as r
+    w as (select ball, sum(x) filter (di >= 50 and di < n - 50) as mid from g cross join nn group by 1),
+    ac as (select m.ball, l.lag, case when va < 1e-12 then 0 when l.lag = 0 then 1 else
+      (coalesce(c, 0) - mu * (coalesce(hd, 0) + coalesce(tl, 0) + 2 * coalesce(mid, 0)) + (n - l.lag) * mu * mu) / (n - l.lag) / va end as r
     from m cross join l cross join nn left join hp on hp.ball = m.ball and hp.lag = l.lag
-    join e on e.ball = m.ball and e.lag = l.lag join w on w.ball = m.ball""",
+    join e on e.ball = m.ball and e.lag = l.lag join w on w.ball = m.ball)"""
+_add("acf", lambda s, r: _rounded(periodicity.acf(_ordered(s, r)), "r"), f"{_ACF} select ball, lag, round(r, 6) as r from ac")
+#: pk(ball, k, period, magnitude, rank): peaks of the Fourier transform, summed hit by hit.
+_DFT = """hh as (select distinct ball, di from occ),
+    ft as (select ball, k.k as k, sqrt(pow(sum(cos(2 * pi() * (k.k * di % n) / n)), 2) + pow(sum(sin(2 * pi() * (k.k * di % n) / n)), 2)) as mag
+           from hh cross join nn cross join range(1, (select n // 2 + 1 from nn)) k(k) where n >= 10 group by 1, 2),
+    th as (select ball, avg(mag) + 2 * stddev_pop(mag) as least from ft group by ball),
+    pk as (select ball, k, round_even(n / k, 0)::bigint as period, mag as magnitude, row_number() over (partition by ball order by round(mag, 9) desc, k) as rank
+           from ft join th using (ball) cross join nn where mag > least and k >= 2 and n >= 5 * k qualify rank <= 5)"""
+_add(
+    "dft_periods",
+    lambda s, r: _rounded(periodicity.dft_peaks(_ordered(s, r)), "magnitude"),
+    f"+ {_DFT} select ball, k, period, round(magnitude, 6) as magnitude, rank from pk",
+)
+_add(
+    "periodicity_summary",
+    lambda s, r: _rounded(periodicity.summary(_ordered(s, r)), "rate"),
+    f"""{_ACF}, {_DFT}, sl as (select ball, lag from ac cross join nn where lag >= 1 and abs(r) > cast(1.96 as double) / sqrt(n)),
+    nl as (select ball, count(*) as n_lags, array_to_string(list_sort(list(lag))[1:10], ',') as lags from sl group by ball),
+    np as (select ball, count(*) as n_periods, array_to_string(list(period order by rank)[1:3], ',') as periods from pk group by ball),
+    al as (select m.ball, round(mu, 6) as rate, coalesce(n_lags, 0) as n_lags, coalesce(n_periods, 0) as n_periods, coalesce(lags, '') as lags, coalesce(periods, '') as periods
+           from m cross join nn left join nl using (ball) left join np using (ball) where n >= 20)
+    select *, n_lags > 0 and n_periods > 0 as cyclic, case when n_lags > 0 and n_periods > 0 then
+      row_number() over (partition by n_lags > 0 and n_periods > 0 order by least(n_lags, 5) + least(n_periods, 5) desc, ball)::int end as rank from al""",
 )
-_add("dft_periods", lambda s, r: _rounded(periodicity.dft_peaks(_ordered(s, r)), "magnitude"))
-_add("periodicity_summary", lambda s, r: _rounded(periodicity.summary(_ordered(s, r)), "rate"))
 
 # strategies
 _P = 2147483647
@@ -331,6 +358,14 @@ _add(
     f"+ {_HITS}, {_HOT_T}, {_pivot('hot')}{_RESULT} select strategy, di, sum(won - cost) over (partition by strategy order by di) as balance from won",
 )
 
+_add(
+    "backtest_winning_dates",
+    lambda s, r: (lambda d: strategies.winning_dates(d, strategies.per_draw(strategies.tickets(d, list(_BY.values())))))(_ordered(s, r)),
+    f"+ {_HITS}, {_HOT_T}, {_W200}, {_weighted(_COLD_C + _WEIGHTED_C)}, {_PAIRED}, "
+    f"al as (select * from hot union all select * from wt union all select * from pt), {_pivot('al')}{_RESULT}"
+    " select strategy, row_number() over (partition by strategy order by won.di)::int as nth, won.di, date_tirage, won from won join d on d.di = won.di where won > 0 qualify nth <= 10",
+)
+
 # chance numbers
 _CH = "ch as (select c.chance::int as chance, dd.di, (dd.chance = c.chance)::int as hit, jour from range(1, 11) c(chance) cross join d dd)"
 
@@ -372,18 +407,47 @@ _add("chance_pred_frequency", _predicted("frequency"), f"+ {_CH}, {_chance_two('
 _add("chance_pred_day", _predicted("day_conditional"), f"+ {_CH}, {_chance_two('day_conditional', 50_151)}")
 _add("chance_pred_recent", _predicted("recent"), "select di, r.rank::int as rank, r.rank::int as chance from d cross join range(1, 3) r(rank) where di >= 50")
 _add("chance_pred_recent_intended", _predicted("recent", "intended"), f"+ {_CH}, {_chance_two('recent', 50_251)}")
+_CHANCE = f"""+ {_HITS}, {_W200}, {_CH},
+    att as (select m.method, m.base, a.a as attempt from (values ('frequency', 50000), ('day_conditional', 50100), ('recent', 50200)) m(method, base) cross join range(1, 10) a(a)),
+    mi as (select di, ball, c, method, attempt, base + attempt as seed from cw cross join att where di >= 50), {_uniform("mi", "mu")},
+    mt as (select * from mu qualify row_number() over (partition by method, di, attempt order by -ln(u) * (c + 1), ball) <= 5),
+    mb as (select method, di, attempt, list_sort(list(ball)) as bs from mt group by 1, 2, 3),
+    dy as (select t.di, x.jour, x.chance, count(*) as c, min(x.di) as fst from d t join d x on x.di between t.di - 200 and t.di - 1 group by 1, 2, 3),
+    dw as (select t.di, x.jour, count(*) as m from d t join d x on x.di between t.di - 200 and t.di - 1 group by 1, 2),
+    d3 as (select * from dy qualify row_number() over (partition by di, jour order by c desc, fst) <= 3),
+    sc as (select d3.di, chance, sum(c * m) as w from d3 join dw on dw.di = d3.di and dw.jour = d3.jour group by 1, 2),
+    cwt as (select 'frequency' as method, di, chance, coalesce(sum(hit) over (partition by chance order by di rows between 200 preceding and 1 preceding), 0) + 1 as w from ch
+      union all select 'day_conditional', ch.di, ch.chance, coalesce(w, 0) from ch left join sc on sc.di = ch.di and sc.chance = ch.chance),
+    ci as (select di, chance, w, method, attempt, base + 50 + attempt as seed from cwt join att using (method) where di >= 50), {_uniform("ci", "cu", item="chance")},
+    c2 as (select method, di, attempt, row_number() over (partition by method, di, attempt order by case when w > 0 then -ln(u) / w else 'infinity'::double end, chance) as j, chance from cu qualify j <= 2
+      union all select method, di, attempt, j.j, j.j from att cross join d cross join range(1, 3) j(j) where method = 'recent' and di >= 50),
+    cand as (select * from mb join c2 using (method, di, attempt) qualify row_number() over (partition by method, di, bs, chance order by attempt, j) = 1),
+    tk as (select *, row_number() over (partition by method, di order by attempt, j) as ticket from cand qualify ticket <= 3),
+    lst as (select method, di, arg_max(bs, ticket) as bs from tk group by 1, 2),
+    ri as (select di, k.k as item, 90000 as seed from d cross join range(3) k(k) where di >= 50), {_uniform("ri", "ru", item="item")},
+    bt as (select method as strategy, di, ticket, bs, chance from tk union all select method || '/random', di, item + 1, bs, raw % 10 + 1 from lst join ru using (di)),
+    cfin as (select strategy, bt.di, ticket, bs, bt.chance, len(list_intersect(bs, [{_BALLS}])) as matches, bt.chance = d.chance as hit from bt join d on d.di = bt.di)"""
 _add(
     "chance_tickets",
     lambda s, r: strategies.chance_tickets(_ordered(s, r)).select("di", "strategy", "ticket", "b1", "b2", "b3", "b4", "b5", "chance", "matches", "hit_chance"),
+    f"{_CHANCE} select di, strategy, ticket::int as ticket, bs[1] as b1, bs[2] as b2, bs[3] as b3, bs[4] as b4, bs[5] as b5, chance::int as chance, matches::int as matches, hit as hit_chance from cfin",
+)
+_add(
+    "backtest_chance",
+    lambda s, r: _rounded(strategies.chance_backtest(_ordered(s, r)), "roi_pct", "random_roi_pct", "improvement", "avg_tickets"),
+    f"""{_CHANCE}, dl as (select string_split(strategy, '/')[1] as method, strategy like '%/%' as luck, di, count(*) as n, count(*) * 2::double as cost,
+      sum(case when matches = 5 and hit then 5000000 when matches = 5 then 1000000 when matches >= 4 then 150 else 0 end)::bigint as won from cfin group by 1, 2, 3),
+    sm as (select method, sum(cost) filter (not luck) as invested, sum(won) filter (not luck)::bigint as won, avg(n) filter (not luck) as avg_tickets,
+      sum(cost) filter (luck) as random_invested, sum(won) filter (luck)::bigint as random_won from dl group by method),
+    rs as (select *, (won - invested) / invested * 100 as roi, (random_won - random_invested) / random_invested * 100 as rroi from sm)
+    select method, invested, won, round(avg_tickets, 6) as avg_tickets, random_invested, random_won, round(roi, 6) as roi_pct, round(rroi, 6) as random_roi_pct, round(roi - rroi, 6) as improvement from rs""",
 )
-_add("backtest_chance", lambda s, r: _rounded(strategies.chance_backtest(_ordered(s, r)), "roi_pct", "random_roi_pct", "improvement", "avg_tickets"))
-_FAIR = f"""fi as (select di, r.ball::int as ball, 42 as seed from d cross join range(1, 50) r(ball)), {_uniform("fi", "fu")},
-    fb as (select di, ball from fu qualify row_number() over (partition by di order by u, ball) <= 5)"""
 _add(
     "sim_parity",
-    lambda s, r: strategies.simulated_parity(_ordered(s, r)),
-    f"""+ {_FAIR}, a as (select di, count(*) filter (ball % 2 = 0) as e from occ group by di), b as (select di, count(*) filter (ball % 2 = 0) as e from fb group by di)
-    select r.e::int as evens, (select count(*) from a where a.e = r.e) as drawn, (select count(*) from b where b.e = r.e) as simulated from range(6) r(e)""",
+    lambda s, r: _rounded(stats.parity_against_fair(_first(s, r)), "fair"),
+    """+ a as (select di, count(*) filter (ball % 2 = 0) as e from occ group by di),
+    c as (select r.e::int as e, (select product(24 - i.i) / product(i.i + 1) from range(r.e) i(i)) as even, (select product(25 - i.i) / product(i.i + 1) from range(5 - r.e) i(i)) as odd from range(6) r(e))
+    select e as evens, (select count(*) from a where a.e = c.e) as drawn, round(n * coalesce(even, 1) * coalesce(odd, 1) / 1906884, 6) as fair from c cross join nn""",
 )
 
 # prizes
@@ -393,12 +457,12 @@ _RANKS = " union all ".join(f"select {k} as rang, gagnants_rang{k} as g, rapport
 def _prize_sql(mode: str, cols: str) -> str:
     values = prizes.OBSERVED_ODDS if mode == "observed" else prizes.INTENDED_ODDS
     paid = "r" if mode == "observed" else "g * r"
-    odds = ", ".join(f"({i + 1}, {p!r}::double)" for i, p in enumerate(values))
-    return f"""with o as (select * from (values {odds}) t(rang, p)), x as ({_RANKS}),
+    odds = ", ".join(f"({i + 1}, '{prizes.LABELS[i]}', {p!r}::double)" for i, p in enumerate(values))
+    return f"""with o as (select * from (values {odds}) t(rang, label, p)), x as ({_RANKS}),
     y as (select rang, count(*) as draws, count(*) filter (g > 0) as won, count(*) filter (g > 0 and r > 0) as paying,
           sum(g) filter (g > 0 and r > 0) as winners, sum(({paid})::decimal(38, 4)) filter (g > 0 and r > 0) as paid,
           sum(g) filter (g > 0) as won_sum, sum(g) as all_sum from x group by rang),
-    z as (select o.rang, p, draws, won, paying, floor(winners / p)::bigint as players, paid::double as paid, won_sum, all_sum from o join y using (rang))
+    z as (select o.rang, label, p, draws, won, paying, floor(winners / p)::bigint as players, paid::double as paid, won_sum, all_sum from o join y using (rang))
     select rang, {cols} from z"""
 
 
@@ -423,6 +487,12 @@ _add(
     _prize_sql("observed", "draws, won, round(won / draws, 6) as share, round(won_sum / won, 6) as mean_won, round(all_sum / draws, 6) as mean_all"),
     prefix="",
 )
+_add(
+    "prize_bundle",
+    lambda s, r: _rounded(prizes.by_rank(table(s, r, "tirages")).select("rang", "label", F.col("draws").alias("total_draws"), "won", "roi_pct", "share", "gap_pct"), "roi_pct", "share", "gap_pct"),
+    _prize_sql("observed", "label, draws as total_draws, won, round((paid - players * 2.0::double) * 100 / (players * 2.0::double), 6) as roi_pct, round(won / draws, 6) as share, round((won / draws - p) / p * 100, 6) as gap_pct"),
+    prefix="",
+)
 
 # checks of the loaded rows
 _COMBI = "list_transform(list_filter(list_transform(string_split({c}, '-'), lambda x: trim(x)), lambda x: regexp_full_match(x, '[0-9]+')), lambda x: x::bigint)"
@@ -466,3 +536,58 @@ _add(
     count(*) filter ({_unsorted("observed")}) as unsorted from draws)""",
     prefix="",
 )
+_add(
+    "dq_errors",
+    lambda s, r: quality.errors(table(s, r, "draws")),
+    f"""with x as (select count(*) as rows, count(*) filter ({_ZERO["observed"]}) as z, count(*) filter (date_tirage is null or date_tirage = '') as m, count(*) filter ({_unsorted("observed")}) as u from draws)
+    select 'Aucun tirage en base — chargez les CSV d''abord.' as error from x where rows = 0 union all select 'Boules a zero detectees' from x where z > 0
+    union all select 'Dates manquantes detectees' from x where m > 0 union all select u || ' combinaison(s) non triee(s)' from x where u > 0
+    union all (select 'Doublon: ' || coalesce(trim(annee_numero), 'None') from draws group by trim(annee_numero) having count(*) > 1)""",
+    prefix="",
+)
+
+# loading of files
+_WANTED = {f"v{i}": name for i, name in enumerate(LAYOUT)}
+_KIND = [kind for _, kind in LAYOUT.values()]
+_COLUMN = [col for col, _ in LAYOUT.values()]
+_X = "regexp_replace(trim(replace({v}, ',', '.'), ' \u00a0'), '([0-9])_([0-9])', '\\1\\2', 'g')"
+_NUM = f"case when regexp_full_match({_X}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') then try_cast({_X} as double) end"
+
+
+_INF = f"coalesce(regexp_full_match(lower({_X}), '[+-]?inf(inity)?'), false)"
+
+
+def _loaded(i: int) -> str:
+    v, kind, col = f"v{i}", _KIND[i], _COLUMN[i]
+    if kind == "string":
+        value = f"trim({v}, ' \u00a0')" if col in ("annee_numero", "jour_tirage") else v
+        return f"coalesce({value}, '{'EUR' if col == 'devise' else ''}') as {col}"
+    number = _NUM.format(v="coalesce(v29, codes)" if col == "nombre_codes" else v)
+    if kind == "double":
+        return f"case when {_INF.format(v=v)} then case when {v} like '%-%' then '-infinity'::double else 'infinity'::double end else coalesce({number}, 0) end as {col}"
+    return f"coalesce(trunc({number})::bigint, 0) as {col}"
+
+
+_INFINITE = " or ".join(_INF.format(v="coalesce(v29, codes)" if c == "nombre_codes" else f"v{i}") for i, (k, c) in enumerate(zip(_KIND, _COLUMN)) if k in ("int", "bigint"))
+assert list(LAYOUT)[29] == "nombre_de_codes_gagnants"
+_FIELD = """("(?:[^"]|"")*"|[^";][^;]*|)"""
+#: ld(file_no, row_no, why, columns of tirages): all rows by the loader's rules; fst: the first storable row of each key.
+_LOAD = f"""with h as (select file_no, min(regexp_replace(rtrim(line, chr(13) || chr(10)), '^\ufeff', '')) as line from csv_lines where row_no = 0 group by file_no),
+hd as (select file_no, list_transform(regexp_extract_all(';' || line, ';{_FIELD}', 1), lambda x: trim(lower(replace(trim(x), '"', '')))) as ns, line from h),
+hn as (select file_no, case when line like '%;' then ns[1:len(ns) - 1] else ns end as ns from hd),
+r0 as (select file_no, row_no, line, regexp_full_match(line, '{_FIELD}(;{_FIELD})*') as ok from csv_lines where row_no > 0 and trim(line) <> ''),
+r1 as (select *, case when ok then list_transform(regexp_extract_all(';' || line, ';{_FIELD}', 1), lambda x: case when x like '"%' then replace(substr(x, 2, length(x) - 2), '""', '"') else x end) else string_split(line, ';') end as c from r0),
+r2 as (select file_no, row_no, case when line like '%;' then c[1:len(c) - 1] else c end as c, ns from r1 join hn using (file_no)),
+r3 as (select file_no, row_no, len(c) < len(ns) as short, c[nullif(list_position(ns, 'nombre_codes_gagnants'), 0)] as codes, {", ".join(f"c[nullif(list_position(ns, '{n}'), 0)] as {v}" for v, n in _WANTED.items())} from r2),
+r4 as (select file_no, row_no, short, {_INFINITE} as inf, {", ".join(_loaded(i) for i in range(len(LAYOUT)))} from r3),
+ld as (select *, case when annee_numero = '' then 'no_key' when short then 'short_row' when inf then 'infinite' when not (numero_chance between 1 and 10 and {_VALID}) then 'out_of_range' end as why from r4),
+fst as (select * from ld where why is null qualify row_number() over (partition by annee_numero order by file_no, row_no) = 1)"""
+_add("load_rows", lambda s, r: draw_files.load(table(s, r, "csv_lines"))[0], f"{_LOAD} select {', '.join(_COLUMN)} from fst", prefix="")
+_add(
+    "load_file_counters",
+    lambda s, r: draw_files.load(table(s, r, "csv_lines"))[1],
+    f"{_LOAD} select a.file_no, a.n as read, coalesce(b.n, 0) as inserted, a.n - coalesce(b.n, 0) as skipped from (select file_no, count(*) as n from ld group by file_no) a left join (select file_no, count(*) as n from fst group by file_no) b using (file_no)",
+    prefix="",
+)
+_add("load_reasons", lambda s, r: draw_files.clean_rows(table(s, r, "csv_lines")).select("file_no", "row_no", "why"), f"{_LOAD} select file_no, row_no, why from ld", prefix="")
+_add("line_counts", lambda s, r: draw_files.count_lines(table(s, r, "csv_lines")), "select file_no, count(*) - 1 as n from csv_lines group by file_no", prefix="")

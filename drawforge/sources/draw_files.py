@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, chomp, split_delimited, strip, without_last_empty
-from ..operators.rejects import parse_headers
+from ..operators.rejects import parse_headers, with_headers
 from ..schema import BALLS, LAYOUT, MAX_BALL, NUM_CHANCE_MAX
 from ..session import cut
 
@@ -62,7 +62,7 @@ def clean_rows(lines: DataFrame) -> DataFrame:
     """
     rows = lines.filter((F.col("row_no") > 0) & ~blank(F.col("line"))).select("file_no", "row_no", chomp(F.col("line")).alias("line"))
     cells = F.coalesce(split_delimited(F.col("line")), F.split("line", ";", -1))
-    rows = rows.withColumn("cells", without_last_empty(F.col("line"), cells)).join(parse_headers(lines), "file_no")
+    rows = with_headers(rows.withColumn("cells", without_last_empty(F.col("line"), cells)), cut(parse_headers(lines))).filter("n_names is not null")
 
     def cell(name: str) -> Column:
         return F.get("cells", F.nullif(F.array_position("names", F.lit(name)), F.lit(0)).cast("int") - 1)

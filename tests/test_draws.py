@@ -311,3 +311,33 @@ def test_trailing_counts():
         want = Counter(b for row in t.balls[max(0, i - 3) : i] for b in row)
         assert {b: int(c) for b, c in enumerate(n[i]) if c} == want
 
+
+def test_chi2_tail(spark):
+    import math
+
+    xs = [0.0, 1e-6, 0.44947002937552216, 1.0, 3.841458820694124, 6.634896601021214, 30.0, 200.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for x, p in df.select("x", combos.chi2_tail(F.col("x"))).collect():
+        assert p == pytest.approx(math.erfc(math.sqrt(x / 2)), rel=2e-7)
+
+
+def test_main_balls_of_chance_tickets_are_pluggable(spark):
+    d = ordered_draws(table_of(spark, made(80)))
+    hot = strategies.chance_tickets(d, ["frequency"], main=lambda t, seed: strategies.hot_balls(t, 100))
+    want = {r.di: [r[f"b{i}"] for i in range(1, 6)] for r in strategies.tickets(d, [strategies.STRATEGIES[0]]).collect()}
+    got = hot.filter("strategy = 'frequency'").collect()
+    assert got and all([r[f"b{i}"] for i in range(1, 6)] == want[r.di] for r in got)
+
+
+def test_winning_dates(spark):
+    d = ordered_draws(table_of(spark, made(60)))
+    daily = spark.createDataFrame([("a", di, 150 * (di % 2)) for di in range(60)] + [("b", 3, 0), ("c", 59, 9)], "strategy string, di long, won long")
+    got = [(r.strategy, r.nth, r.di) for r in strategies.winning_dates(d, daily).orderBy("strategy", "nth").collect()]
+    assert got == [("a", k + 1, 2 * k + 1) for k in range(10)] + [("c", 1, 59)]
+
+
+def test_ball_series(spark):
+    d = ordered_draws(table_of(spark, made(30)))
+    series = periodicity.ball_series(d)
+    assert series.count() == 30 * 49 and series.agg(F.sum("hit")).first()[0] == sum(r.hits for r in periodicity.binary_series(d).collect())
+    assert periodicity.verdict(periodicity.summary(d), 30).startswith(("Aucun", "1", "2", "3", "4", "5", "6", "7", "8", "9"))

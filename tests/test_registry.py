@@ -8,8 +8,6 @@ import __spark_entry__ as entry_module
 from drawforge.plans import draw_queries, quality_queries
 
 NAMES = sorted(set(draw_queries.ORACLE) | set(quality_queries.ORACLE))
-#: Seconds each on the small tables; the rest runs in the driver's own comparison.
-FAST = [n for n in NAMES if not n.startswith(("draw_scan_by", "prize_odds", "backtest_", "hot_numbers_", "cold_numbers_"))]
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +18,7 @@ def views(sf):
     return con
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, sf, views, name):
     df = entry_module.queries()[name](spark, sf)
     cur = views.execute(entry_module.oracle_sql()[name])
@@ -31,6 +29,28 @@ def test_query_equals_sql(spark, sf, views, name):
     assert sorted((tuple(r) for r in df.select(*cols).collect()), key=key) == want
 
 
+def test_only_a_missing_subpackage_is_passed_over(monkeypatch):
+    monkeypatch.setattr(entry_module, "_OPTIONAL", ["drawforge.llm.broken"])
+    if entry_module.importlib.util.find_spec("drawforge.llm") is None:
+        assert entry_module.queries()
+    else:
+        with pytest.raises(ImportError):
+            entry_module.queries()
+
+
+def test_checkpoints_need_a_shared_folder(spark):
+    class Context:
+        master = "spark://somewhere:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("D", (), {"isDefined": lambda self: False})()})()})()
+        getConf = lambda self: {}
+
+    from drawforge.session import ensure_checkpoint_dir
+
+    far = type("Session", (), {"sparkContext": Context(), "conf": type("C", (), {"get": lambda self, k, d=None: d})()})()
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(far)
+
+
 def test_every_oracle_has_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 

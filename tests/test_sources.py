@@ -1,7 +1,6 @@
 from drawforge.plans import pipeline
 from drawforge.session import cut
 from drawforge.sources import draw_files
-from drawforge.streaming.incremental import append_new, draw_stream
 from tests.test_draws import made, table_of
 
 HEAD = "annee_numero_de_tirage;jour_de_tirage;boule_1;boule_2;boule_3;boule_4;boule_5;numero_chance;nombre_de_gagnant_au_rang1;rapport_du_rang1;"
@@ -36,17 +35,6 @@ def test_load_rules(spark, tmp_path):
     assert {r.file_no: r.n for r in draw_files.count_lines(lines).collect()} == {1: 9, 3: 2}
 
 
-def test_stream_adds_each_key_once(spark, tmp_path):
-    source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
-    first = table_of(spark, made(30))
-    first.write.parquet(source)
-    append_new(draw_stream(spark, source, first.schema), target, mark).awaitTermination()
-    table_of(spark, made(40)).write.mode("append").parquet(source)
-    append_new(draw_stream(spark, source, first.schema), target, mark).awaitTermination()
-    keys = [r.annee_numero for r in spark.read.parquet(target).collect()]
-    assert len(keys) == len(set(keys)) == 40
-
-
 def test_report(spark, tmp_path):
     b = pipeline.bundle(cut(table_of(spark, made(120))))
     pipeline.write_report(b, str(tmp_path))
@@ -54,3 +42,20 @@ def test_report(spark, tmp_path):
     assert "Tirages analysés : 120" in text and (tmp_path / "results.json").exists()
     v = pipeline.validation(table_of(spark, made(5)))
     assert v["status"] == "SUCCES" and v["errors_count"] == 0
+    assert pipeline.write_validation(v, str(tmp_path)) == 0
+    twice = made(5) + made(5)[:1]
+    faulty = pipeline.validation(table_of(spark, twice))
+    assert faulty["status"] == "ECHEC" and faulty["errors_count"] == 1 and faulty["errors"][0].startswith("Doublon: ")
+    assert pipeline.write_validation(faulty, str(tmp_path)) == 1 and "Doublon" in (tmp_path / "validation_report.json").read_text(encoding="utf-8")
+    assert pipeline.validation(None)["errors_count"] == 1 and pipeline.validation(table_of(spark, []))["errors_count"] == 1
+    assert pipeline.prize_analysis(None) == {"by_rank": None, "total_draws": 0}
+
+
+def test_a_failing_stage_is_reported(spark, tmp_path, monkeypatch):
+    def broken(*_):
+        raise ValueError("no backtest today")
+
+    monkeypatch.setattr(pipeline, "backtests", broken)
+    b = pipeline.bundle(cut(table_of(spark, made(60))))
+    assert b["backtests_error"] == "ValueError: no backtest today" and len(b["markov"]) == 10
+    assert "no backtest today" in pipeline.text_report(b)
