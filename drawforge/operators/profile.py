@@ -65,20 +65,30 @@ def magnitude(number: Column) -> Column:
     return F.when(number == 0, "0").when(number < 0, F.concat(F.lit("-e"), size)).otherwise(F.concat(F.lit("e"), size))
 
 
-def _judge(field: str, limits: Limits | None) -> dict[str, Column]:
-    """number, class, fails_pattern, out_of_range of a value that is not blank."""
-    v, no = F.col("value"), F.lit(False)
-    number = v.try_cast("double")
+def _read(fields: dict[str, Limits]) -> tuple[Column, Column]:
+    """(day, number) of a value that is not blank: the real date of a date field, else the number that it writes (seconds
+    since 1970 for a time)."""
+    v, field = F.col("value"), F.col("field")
+    day, number = F.lit(None).cast("date"), v.try_cast("double")
+    for name, limits in fields.items():
+        if limits.kind == "date":
+            day = F.when(field == name, real_date(v, limits.form)).otherwise(day)
+            number = F.when(field != name, number)
+        elif limits.kind == "time":
+            number = F.when(field == name, F.unix_micros(v.try_cast("timestamp")) / 1e6).otherwise(number)
+    return day, number
+
+
+def _judge(limits: Limits | None) -> dict[str, Column]:
+    """class, bad (pattern) and outside (range) of a value that is not blank, from `_day` and `_number`."""
+    v, day, number, no = F.col("value"), F.col("_day"), F.col("_number"), F.lit(False)
     if limits is None:
-        kind = F.when(number.isNotNull(), magnitude(number)).otherwise(shape(v))
-        return {"number": number, "class": kind, "bad": no, "outside": no}
+        return {"class": F.when(number.isNotNull(), magnitude(number)).otherwise(shape(v)), "bad": no, "outside": no}
     if limits.kind == "time":
-        moment = F.unix_micros(v.try_cast("timestamp")) / 1e6
-        return {"number": moment, "class": shape(v), "bad": no, "outside": no}
+        return {"class": shape(v), "bad": no, "outside": no}
     if limits.kind == "date":
-        day = real_date(v, limits.form)
         outside = F.coalesce((day < F.lit(FIRST_DAY)) | (day > F.lit(LAST_DAY)), no)
-        return {"number": F.unix_date(day).cast("double"), "class": F.weekday(day).cast("string"), "bad": day.isNull(), "outside": outside}
+        return {"class": F.weekday(day).cast("string"), "bad": day.isNull(), "outside": outside}
     outside = F.coalesce((number < limits.low) | (number > limits.high), F.lit(True))
     if limits.bins is None:
         kind = F.coalesce(F.regexp_replace(v, "[.]0$", ""), F.lit(OTHER))
@@ -87,22 +97,28 @@ def _judge(field: str, limits: Limits | None) -> dict[str, Column]:
         for bound, name in limits.bins:
             kind = kind.when(number <= bound, name)
         kind = kind.otherwise(OTHER)
-    return {"number": number, "class": kind, "bad": no, "outside": outside}
+    return {"class": kind, "bad": no, "outside": outside}
 
 
 def judged_counts(counts: DataFrame, limits: dict[str, Limits]) -> DataFrame:
-    """`counts` with number, class, bad (pattern), outside (range) of each value that is not null or blank."""
-    blank = F.col("value").isNull() | (strip(F.col("value")) == "")
-    out = counts.withColumn("blank", blank)
-    rest = _judge("", None)
-    for key in ("number", "class", "bad", "outside"):
+    """`counts` with number, class, bad (pattern), outside (range) of each value that is not null or blank.
+
+    Values are read in one step and judged in the next, so that each is read once, and the generated code of a step
+    stays small enough to be compiled.
+    """
+    out = counts.withColumn("blank", F.col("value").isNull() | (strip(F.col("value")) == ""))
+    day, number = _read(limits)
+    out = out.withColumns({"_day": F.when(~F.col("blank"), day), "_number": F.when(~F.col("blank"), number)})
+    judged = {}
+    for key in ("class", "bad", "outside"):
         chosen = None
         for field, lim in limits.items():
-            here = _judge(field, lim)[key]
+            here = _judge(lim)[key]
             chosen = F.when(F.col("field") == field, here) if chosen is None else chosen.when(F.col("field") == field, here)
-        value = rest[key] if chosen is None else chosen.otherwise(rest[key])
-        out = out.withColumn(key, F.when(~blank, value))
-    return out
+        rest = _judge(None)[key]
+        judged[key] = F.when(~F.col("blank"), rest if chosen is None else chosen.otherwise(rest))
+    number = F.coalesce("_number", F.unix_date("_day").cast("double"))
+    return out.withColumns({"number": number, **judged}).drop("_day", "_number")
 
 
 def class_counts(judged: DataFrame) -> DataFrame:
