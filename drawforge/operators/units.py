@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import reduce
 from math import gcd
 
 import pandas as pd
@@ -175,23 +176,31 @@ def double_amount(v: Column) -> tuple[Column, Column]:
     return F.when(known & small, micro), F.when(known & ~small, fits)
 
 
-def cents(micro: Column, large: Column, unit: Column) -> Column:
-    """An amount of `unit` in euro cents, rounded half up, in exact arithmetic; null where 64 bits do not hold it.
+def _ratio(unit: Column, which: int) -> Column:
+    """2 a or b of the reduced ratio a / b of cents to millionths of a unit, as a bigint."""
+    ratios = {}
+    for name, (num, den) in UNITS.items():
+        common = gcd(num, den * 10**6)
+        ratios[name] = (2 * num // common, den * 10**6 // common)[which]
+    return F.create_map(*[F.lit(x) for name, n in ratios.items() for x in (name, n)])[unit].cast("bigint")
+
+
+def with_cents(figures: DataFrame) -> DataFrame:
+    """`figures`(..., micro, large, unit) with `cents`: the amount in euro cents, rounded half up, in exact arithmetic; null
+    where 64 bits do not hold it.
 
     The amount is `micro` millionths, or `large` where that is null. Products that fit 64 bits are worked out so, others
-    as decimals of 38 digits.
+    as decimals of 38 digits. The unit's ratio is looked up in a step of its own, so that the arithmetic stands in the
+    generated code once and not for every unit.
     """
-    out = F.lit(None).cast("bigint")
+    figures = figures.withColumns({"_a": _ratio(F.col("unit"), 0), "_b": _ratio(F.col("unit"), 1)})
+    micro, large, a, b = (F.col(c) for c in ("micro", "large", "_a", "_b"))
     n = F.coalesce(micro.cast("decimal(38,0)"), F.when(large < F.lit(Decimal(10**24)), (large * F.lit(10**6)).cast("decimal(38,0)")))
-    for name, (num, den) in UNITS.items():
-        common = gcd(num, den * 10**6)
-        a, b = 2 * num // common, den * 10**6 // common
-        top = n * F.lit(a).cast("decimal(8,0)") + F.lit(b).cast("decimal(14,0)")
-        wide = F.lit(2 * b).cast("decimal(14,0)")
-        by_decimals = F.when(top < wide * F.lit(Decimal(2**63)), ((top - top % wide) / wide).cast("bigint"))
-        by_integers = F.call_function("div", micro * a + b, F.lit(2 * b).cast("bigint"))
-        out = F.when(unit == name, F.when(micro <= (2**63 - 1 - b) // a, by_integers).otherwise(by_decimals)).otherwise(out)
-    return out
+    top, wide = n * a.cast("decimal(8,0)") + b.cast("decimal(14,0)"), b.cast("decimal(14,0)") * 2
+    by_decimals = F.when(top < wide * F.lit(Decimal(2**63)), ((top - top % wide) / wide).cast("bigint"))
+    by_integers = F.call_function("div", micro * a + b, b * 2)
+    fits = micro <= F.call_function("div", F.lit(2**63 - 1) - b, a)
+    return figures.withColumn("cents", F.when(fits, by_integers).otherwise(by_decimals)).drop("_a", "_b")
 
 
 def note_units(sources: DataFrame) -> DataFrame:
@@ -223,11 +232,9 @@ def note_units(sources: DataFrame) -> DataFrame:
     return clause.select("source_code", "turn", "at", "clause", F.explode(phrases).alias("spelling"))
 
 
-def note_dictionary(sources: DataFrame) -> DataFrame:
+def note_dictionary(sources: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(source_code, first_year, last_year, note_unit), at most one for each source and year."""
-    phrases = note_units(sources)
-    units = alias_dictionary(phrases.select("spelling"))
-    found = phrases.join(units, "spelling", "left")
+    found = _joined(note_units(sources), dictionary, "spelling", "unit")
     longest = F.max(F.when(F.col("unit").isNotNull(), F.struct(F.length("spelling"), "unit")))
     clause = found.groupBy("source_code", "turn", "at", "clause").agg(longest.alias("u"))
     by_source = W.partitionBy("source_code").orderBy("at")
@@ -246,12 +253,9 @@ def note_dictionary(sources: DataFrame) -> DataFrame:
     return spans.groupBy("source_code", "first_year", "last_year").agg(F.min("note_unit").alias("note_unit"))
 
 
-def payout_figures(reports: DataFrame, sources: DataFrame) -> DataFrame:
-    """(row_id, rang, positive, number, unit, cents) of every figure of `payout_reports` that can be read.
-
-    The unit is the one written with the figure, else that of `devise`, else that of the source's note for the year
-    of the draw, else euro. A unit text or `devise` that no known spelling is near to counts as none.
-    """
+def report_lines(reports: DataFrame) -> DataFrame:
+    """(row_id, year, source_code, devise, rang, t, written): the figures of `payout_reports` as they are written, and the
+    unit text beside each."""
     long = reports.select(
         F.col("rec_id").alias("row_id"),
         F.substring(strip(F.col("annee_numero")), 1, 4).try_cast("int").alias("year"),
@@ -259,13 +263,37 @@ def payout_figures(reports: DataFrame, sources: DataFrame) -> DataFrame:
         F.when(strip(F.col("devise")) != "", strip(F.col("devise"))).alias("devise"),
         F.explode(F.array(*[F.struct(F.lit(r).alias("rang"), strip(F.col(f"rapport_du_rang{r}")).alias("t")) for r in (1, 2)])).alias("f"),
     ).select("row_id", "year", "source_code", "devise", "f.rang", "f.t")
-    long = long.withColumn("written", unit_text(F.col("t")))
-    # the spellings need no number: what is beside a figure that cannot be read is no unit, or does no harm
-    dictionary = cut(alias_dictionary(long.select(F.explode(F.array("written", "devise")).alias("spelling"))))
+    return long.withColumn("written", unit_text(F.col("t")))
+
+
+def unit_dictionary(reports: DataFrame | None = None, sources: DataFrame | None = None, tirages: DataFrame | None = None) -> DataFrame:
+    """The alias dictionary of all spellings of the given tables, made once and checkpointed.
+
+    Spellings need no number: what is beside a figure that cannot be read is no unit, or does no harm.
+    """
+    spellings = []
+    if reports is not None:
+        spellings.append(report_lines(reports).select(F.explode(F.array("written", "devise")).alias("spelling")))
+    if sources is not None:
+        spellings.append(note_units(sources).select("spelling"))
+    if tirages is not None:
+        spellings.append(tirages.select(strip(F.col("devise")).alias("spelling")).filter("spelling <> ''"))
+    # each table's spellings are made distinct before they meet
+    return cut(alias_dictionary(reduce(DataFrame.unionByName, [s.distinct() for s in spellings])))
+
+
+def payout_figures(reports: DataFrame, sources: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """(row_id, rang, positive, number, unit, cents) of every figure of `payout_reports` that can be read.
+
+    The unit is the one written with the figure, else that of `devise`, else that of the source's note for the year
+    of the draw, else euro. A unit text or `devise` that no known spelling is near to counts as none.
+    """
+    long = report_lines(reports)
+    dictionary = unit_dictionary(reports, sources) if dictionary is None else dictionary
     micro, large = written_amount(F.col("plain"))
     long = long.withColumn("plain", plain_number(F.col("t"))).filter("plain is not null")
     long = long.select("row_id", "year", "source_code", "devise", "rang", "written", micro.alias("micro"), large.alias("large"))
-    notes = cut(note_dictionary(sources))
+    notes = cut(note_dictionary(sources, dictionary))
     small = notes.count() <= BROADCAST_ROWS
     spans = notes.select(F.col("source_code").alias("_s"), "first_year", "last_year", "note_unit")
     known = _joined(_joined(long, dictionary, "written", "unit_1"), dictionary, "devise", "unit_2")
@@ -277,12 +305,12 @@ def payout_figures(reports: DataFrame, sources: DataFrame) -> DataFrame:
 def _converted(figures: DataFrame, unit: Column) -> DataFrame:
     """(row_id, rang, positive, number, unit, cents) of figures with micro, large."""
     number = F.coalesce("large", F.col("micro").cast("decimal(38,6)") / F.lit(10**6)).cast("decimal(38,6)")
-    figures = figures.select("row_id", "rang", "micro", "large", unit.alias("unit"))
+    figures = with_cents(figures.select("row_id", "rang", "micro", "large", unit.alias("unit")))
     positive = F.coalesce(F.col("micro") > 0, F.lit(True))
-    return figures.select("row_id", "rang", positive.alias("positive"), number.alias("number"), "unit", cents(F.col("micro"), F.col("large"), F.col("unit")).alias("cents"))
+    return figures.select("row_id", "rang", positive.alias("positive"), number.alias("number"), "unit", "cents")
 
 
-def draw_figures(tirages: DataFrame) -> DataFrame:
+def draw_figures(tirages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """The same of the payouts of ranks 1 and 2 of `tirages`; null, NaN and negative ones are left out."""
     long = tirages.select(
         F.col("id").alias("row_id"),
@@ -291,13 +319,14 @@ def draw_figures(tirages: DataFrame) -> DataFrame:
     ).select("row_id", "devise", "f.rang", "f.v")
     micro, large = double_amount(F.col("v"))
     long = long.select("row_id", "devise", "rang", micro.alias("micro"), large.alias("large")).filter("micro is not null or large is not null")
-    dictionary = cut(alias_dictionary(tirages.select(strip(F.col("devise")).alias("spelling")).filter("spelling <> ''")))
+    dictionary = unit_dictionary(tirages=tirages) if dictionary is None else dictionary
     return _converted(_joined(long, dictionary, "devise", "unit"), F.coalesce("unit", F.lit(PLAIN)))
 
 
 def in_cents(reports: DataFrame, sources: DataFrame, tirages: DataFrame) -> DataFrame:
     """(src_table, row_id, rang, positive, number, unit, cents) of all payouts of both tables. Figures that 64 bits do not
     hold in cents come out with null cents."""
-    a = payout_figures(reports, sources).select(F.lit("payout_reports").alias("src_table"), "*")
-    b = draw_figures(tirages).select(F.lit("tirages").alias("src_table"), "*")
+    dictionary = unit_dictionary(reports, sources, tirages)
+    a = payout_figures(reports, sources, dictionary).select(F.lit("payout_reports").alias("src_table"), "*")
+    b = draw_figures(tirages, dictionary).select(F.lit("tirages").alias("src_table"), "*")
     return a.unionByName(b)

@@ -43,15 +43,22 @@ def number(c: Column) -> tuple[Column, Column]:
     return value, F.coalesce(infinite, F.lit(False))
 
 
+def _as_int(value: Column, infinite: Column) -> Column:
+    return F.when(~infinite & (F.abs(value) < 9.2e18), value.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+
+
+def _as_float(value: Column, infinite: Column, text: Column) -> Column:
+    return F.when(infinite, F.when(text.contains("-"), float("-inf")).otherwise(float("inf"))).otherwise(F.coalesce(value, F.lit(0.0)))
+
+
 def parse_int_safe(c: Column) -> Column:
     """Whole part of a written number, 0 where there is none; out of the range of 64 bits counts as none."""
-    value, infinite = number(c)
-    return F.when(~infinite & (F.abs(value) < 9.2e18), value.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return _as_int(*number(c))
 
 
 def parse_float_safe(c: Column) -> Column:
-    value, infinite = number(c)
-    return F.when(infinite, F.when(c.contains("-"), float("-inf")).otherwise(float("inf"))).otherwise(F.coalesce(value, F.lit(0.0)))
+    """A written number, 0 where there is none."""
+    return _as_float(*number(c), c)
 
 
 def clean_rows(lines: DataFrame) -> DataFrame:
@@ -67,19 +74,24 @@ def clean_rows(lines: DataFrame) -> DataFrame:
     def cell(name: str) -> Column:
         return F.get("cells", F.nullif(F.array_position("names", F.lit(name)), F.lit(0)).cast("int") - 1)
 
-    raw = rows.select("file_no", "row_no", (F.size("cells") < F.col("n_names")).alias("_short"), *[cell(n).alias(f"_v_{n}") for n in LAYOUT], cell("nombre_codes_gagnants").alias("_codes"))
-    raw = raw.withColumn("_v_nombre_de_codes_gagnants", F.coalesce("_v_nombre_de_codes_gagnants", "_codes"))
-    out, bad = [], F.lit(False)
-    for name, (col, kind) in LAYOUT.items():
-        v = F.col(f"_v_{name}")
+    texts = [F.coalesce(cell(n), cell("nombre_codes_gagnants")) if n == "nombre_de_codes_gagnants" else cell(n) for n in LAYOUT]
+    raw = rows.select("file_no", "row_no", (F.size("cells") < F.col("n_names")).alias("_short"), F.array(*texts).alias("_texts"))
+    # numbers are read in the array, so that the rule stands in the plan once and not for every column
+    read = lambda v: F.struct(v.alias("text"), number(v)[0].alias("value"), number(v)[1].alias("infinite"))
+    raw = raw.select("file_no", "row_no", "_short", F.transform("_texts", read).alias("_n"))
+    out, whole = [], []
+    for i, (col, kind) in enumerate(LAYOUT.values()):
+        c = F.get("_n", F.lit(i))
         if kind == "string":
+            v = c["text"]
             value = strip(v) if col in ("annee_numero", "jour_tirage") else v
             out.append(F.coalesce(value, F.lit("EUR" if col == "devise" else "")).alias(col))
         elif kind == "double":
-            out.append(parse_float_safe(v).alias(col))
+            out.append(_as_float(c["value"], c["infinite"], c["text"]).alias(col))
         else:
-            bad = bad | F.coalesce(number(v)[1], F.lit(False))
-            out.append(parse_int_safe(v).alias(col))
+            whole.append(i)
+            out.append(_as_int(c["value"], c["infinite"]).alias(col))
+    bad = F.exists(F.transform(F.array(*[F.lit(i) for i in whole]), lambda i: F.get("_n", i)["infinite"]), lambda x: x)
     clean = raw.select("file_no", "row_no", "_short", bad.alias("_bad"), *out)
     inside = F.col("numero_chance").between(1, NUM_CHANCE_MAX)
     for b in BALLS:
