@@ -205,3 +205,46 @@ union all select load_no, f, 'pattern' from j where bad > 0 and bad >= 0.01 * m
 union all select load_no, f, 'range' from j where outs > 0 and outs >= 0.01 * m
 union all select load_no, f, 'distinct' from j where f <> 'date_tirage' and dis < dis0 / 2
 union all select load_no, f, 'shift' from j where m > 0 and m0 > 0 and round(moved, 6) >= 0.2"""
+
+
+def _profiled(column: str, kind: str) -> str:
+    """A column of tirages in SQL: load_no, f, v (as text, null where blank), num, class, bad, outside."""
+    v, num, bad, outside = f"{column}::varchar", f"{column}::double", "false", "false"
+    if kind == "string":
+        v, num = f"case when trim({column}, ' \u00a0') <> '' then {column} end", f"try_cast({column} as double)"
+    if kind == "timestamp":
+        num = f"epoch_us({column}) / 1000000"
+    shape = f"regexp_replace(regexp_replace(regexp_replace({v}, '[0-9]+', '9', 'g'), '\\p{{L}}+', 'a', 'g'), '\\s+', ' ', 'g')"
+    power = f"floor(log10(abs({num})))::bigint::varchar"
+    kind_of = f"case when {num} = 0 then '0' when {num} < 0 then '-e' || {power} when {num} > 0 then 'e' || {power} else {shape} end"
+    if kind == "timestamp":
+        kind_of = shape
+    if column == "boule_1":
+        outside = "boule_1 not between 1 and 49"
+        kind_of = "case when boule_1 not between 1 and 49 then 'other' else least((boule_1 - 1) // 10, 4)::varchar end"
+    if column == "numero_chance":
+        outside, kind_of = "numero_chance not between 1 and 10", "numero_chance::varchar"
+    if column == "rapport_rang1":
+        outside = "rapport_rang1 not between 0 and 500000000"
+        kind_of = "case when rapport_rang1 not between 0 and 500000000 then 'other' when rapport_rang1 = 0 then '0' when rapport_rang1 < 3000000 then '3' when rapport_rang1 < 8000000 then '8' else '500' end"
+    if column == "date_tirage":
+        num, bad, outside = "(day - date '1970-01-01')::double", "day is null", "coalesce(day not between date '1976-01-01' and date '2025-12-31', false)"
+        kind_of = "dayname(day)"
+    return f"select load_no, '{column}' as f, {v} as v, {num} as num, {kind_of} as class, {bad} as bad, {outside} as outside from t"
+
+
+_COLUMNS = [("id", "bigint"), ("loaded_at", "timestamp"), *LAYOUT.values()]
+ORACLE["p5_profile"] = f"""
+with t as (select *, case when regexp_full_match(date_tirage, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') then try_strptime(date_tirage, '%d/%m/%Y')::date end as day from tirages),
+l as ({" union all ".join(_profiled(c, k) for c, k in _COLUMNS)}),
+p as (select load_no, f, count(*) as rows, count(*) - count(v) as nulls, count(v) as m, count(distinct v) as dis, min(num) filter (v is not null) as low, max(num) filter (v is not null) as high,
+  count(*) filter (v is not null and bad) as bad, count(*) filter (v is not null and outside) as outs from l group by 1, 2),
+ord as (select load_no, lag(load_no) over (order by load_no) as before from (select distinct load_no from tirages)),
+c as (select load_no, f, class, count(*) as k from l where v is not null and class is not null group by 1, 2, 3),
+z as (select load_no, f, class, sum(a) as a, sum(b) as b from (select c.load_no, f, class, k as a, 0 as b from c join ord using (load_no) where before is not null
+  union all select ord.load_no, f, class, 0, k from c join ord on ord.before = c.load_no) group by 1, 2, 3),
+w as (select z.*, x.m as na, y.m as nb, a / x.m as p, b / y.m as q, greatest(a / x.m, cast(0.5 as double) / x.m) as pp, greatest(b / y.m, cast(0.5 as double) / y.m) as qq
+  from z join ord using (load_no) join p x on x.load_no = z.load_no and x.f = z.f join p y on y.load_no = ord.before and y.f = z.f where x.m > 0 and y.m > 0),
+g as (select load_no, f, round(max(abs(p - q)), 6) as moved, round(sum((pp - qq) * ln(pp / qq)), 6) as psi, round(sum(pow(sqrt(nb / na) * a - sqrt(na / nb) * b, 2) / (a + b)), 6) as chi2 from w group by 1, 2)
+select p.load_no, p.f as field_name, p.rows, p.nulls, p.dis as n_distinct, y.dis as distinct_before, p.low, p.high, p.bad, p.outs as outside, moved, psi, chi2
+from p join ord using (load_no) left join p y on y.load_no = ord.before and y.f = p.f left join g on g.load_no = p.load_no and g.f = p.f"""
