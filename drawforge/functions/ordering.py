@@ -19,15 +19,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 ROWS_PER_KEY = 1_000_000
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: str, broadcast_rows: int, rows_per_key: int = ROWS_PER_KEY) -> DataFrame:
+def spread_join(
+    rows: DataFrame, side: DataFrame, key: str, broadcast_rows: int, rows_per_key: int = ROWS_PER_KEY, keys: DataFrame | None = None
+) -> DataFrame:
     """Left join of `side`, which has one row for a value of `key`; no value meets in one task, however many rows have it.
 
     A side of at most `broadcast_rows` rows, which is counted first, is sent to all executors. A larger one is
     joined by shuffle: values with more than `rows_per_key` rows are split, and their row of `side` is repeated for each part.
+    `keys` may give the keys of `rows` (or of more rows), one row each, where `rows` costs more to make than to count.
     """
     if side.count() <= broadcast_rows:
         return rows.join(F.broadcast(side), key, "left")
-    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > rows_per_key) & F.col(key).isNotNull())
+    many = (rows if keys is None else keys).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > rows_per_key) & F.col(key).isNotNull())
     # at most one row for every `rows_per_key` rows
     hot = cut(many.select(key, F.ceil(F.col("_n") / rows_per_key).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))

@@ -103,9 +103,10 @@ def _split(rows: DataFrame) -> DataFrame:
     return cells.withColumn("cells", without_last_empty(F.col("line"), F.col("_cells"))).drop("_cells", "line")
 
 
-def with_headers(rows: DataFrame, headers: DataFrame, broadcast_headers: int = BROADCAST_HEADERS) -> DataFrame:
-    """Rows with the columns of their file's header; null where the file has none. A file of any size is spread."""
-    return spread_join(rows, headers, "file_no", broadcast_headers)
+def with_headers(rows: DataFrame, headers: DataFrame, lines: DataFrame, broadcast_headers: int = BROADCAST_HEADERS) -> DataFrame:
+    """Rows of `lines` with the columns of their file's header; null where the file has none. A file of any size is
+    spread."""
+    return spread_join(rows, headers, "file_no", broadcast_headers, keys=lines.select("file_no"))
 
 
 def ruled_cells(rows: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def separate(lines: DataFrame, headers: DataFrame | None = None) -> tuple[DataFr
     """
     headers = cut(parse_headers(lines)) if headers is None else headers
     rows = row_lines(lines)
-    rejects = rejects_of(with_headers(_split(rows), headers))
+    rejects = rejects_of(with_headers(_split(rows), headers, lines))
     block = F.shiftright("row_no", BLOCK_BITS).alias("block")
     bad = rejects.groupBy(F.col("file_no").alias("_f"), block.alias("_b")).agg(F.collect_set("row_no").alias("_rows"))
     # lines are shuffled as they are written, which is less than their cells, and split behind the anti-join; by blocks of
@@ -159,4 +160,4 @@ def separate(lines: DataFrame, headers: DataFrame | None = None) -> tuple[DataFr
     kept = rows.select("*", block).join(bad, F.expr("file_no = _f and block = _b and array_contains(_rows, row_no)"), "left_anti")
     clean = _split(kept.drop("block"))
     clean = clean.select(*ROW, F.transform("cells", strip).alias("cells"))
-    return with_headers(clean, headers), rejects
+    return with_headers(clean, headers, lines), rejects

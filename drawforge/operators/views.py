@@ -80,9 +80,8 @@ class Trailing:
 
     def counts(self, item: np.ndarray, n: int, window: int) -> np.ndarray:
         """[own draw, item] times that each item 0..n-1 came in the window before the draw."""
-        hits = np.zeros((len(item) + 1, n), dtype=np.int32)
-        for c in range(item.shape[1]):
-            np.add.at(hits, (np.arange(1, len(item) + 1), item[:, c]), 1)
+        row = np.arange(1, len(item) + 1)[:, None]
+        hits = np.bincount((row * n + item).ravel(), minlength=(len(item) + 1) * n).reshape(-1, n)
         total = np.cumsum(hits, axis=0, dtype=np.int32)
         return total[self.own] - total[np.maximum(self.own - window, 0)]
 

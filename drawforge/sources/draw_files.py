@@ -69,7 +69,7 @@ def clean_rows(lines: DataFrame) -> DataFrame:
     """
     rows = lines.filter((F.col("row_no") > 0) & ~blank(F.col("line"))).select("file_no", "row_no", chomp(F.col("line")).alias("line"))
     cells = F.coalesce(split_delimited(F.col("line")), F.split("line", ";", -1))
-    rows = with_headers(rows.withColumn("cells", without_last_empty(F.col("line"), cells)), cut(parse_headers(lines))).filter("n_names is not null")
+    rows = with_headers(rows.withColumn("cells", without_last_empty(F.col("line"), cells)), cut(parse_headers(lines)), lines).filter("n_names is not null")
 
     def cell(name: str) -> Column:
         return F.get("cells", F.nullif(F.array_position("names", F.lit(name)), F.lit(0)).cast("int") - 1)

@@ -155,6 +155,15 @@ def test_headers_too_many_to_send_and_hot_files(spark):
     assert len(sent) == 60 and sorted(sent, key=key) == sorted(split, key=key)
 
 
+def test_separation_beyond_the_broadcast_of_headers(spark, monkeypatch):
+    lines = lines_of(spark, {k: [HEAD, line(), line(boule_1="50"), line(boule_1='"1')] for k in range(1, 6)})
+    want = [sorted(map(str, d.select("file_no", "row_no", d.columns[2]).collect())) for d in rejects.separate(lines)]
+    monkeypatch.setattr(rejects.with_headers, "__defaults__", (2,))
+    monkeypatch.setattr(rejects.spread_join, "__defaults__", (1, None))
+    assert [sorted(map(str, d.select("file_no", "row_no", d.columns[2]).collect())) for d in rejects.separate(lines)] == want
+    assert [len(w) for w in want] == [5, 10]
+
+
 def test_masked_split_equals_matching(spark):
     from drawforge.functions import text
     from pyspark.sql import functions as F
