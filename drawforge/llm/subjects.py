@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,14 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ordering import spread
+from ..functions.ordering import spread, spread_join
 from ..session import cut
 from .leakage import Folding
 
-#: Largest number of labelled documents that rules are mined from; a document is chosen by the hash of its id.
-LABELLED_DOCUMENTS = 20_000
-#: Sentences of one labelled document that are mined, so that a long page does not make rules of its own.
-SENTENCES_PER_DOCUMENT = 24
+#: Up to so many labelled documents their labels are sent to all executors; more are joined to the texts by shuffle.
+LABELS_SENT = 250_000
 #: Fewest sentences and documents of a rule's words, least confidence of a rule, and of the words a pair is made of.
 MIN_COUNT, MIN_DOCUMENTS, MIN_CONFIDENCE, MIN_PART = 4, 3, 0.5, 0.3
 #: A rule must beat chance, and a pair the rules of its words, by so many standard deviations.
@@ -58,16 +57,16 @@ def sentence_words(text: str, folding: Folding) -> list[list[str]]:
     return out
 
 
-def sentences(documents: DataFrame) -> DataFrame:
-    """(doc_id, words): one row per sentence."""
+def sentences(texts: DataFrame) -> DataFrame:
+    """(doc_id, words, told): one row per sentence of `texts`(doc_id, text, told)."""
 
     def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         folding = Folding()
         for frame in frames:
-            rows = [(d, s) for d, t in zip(frame["doc_id"], frame["text"]) if t for s in sentence_words(t, folding)]
-            yield pd.DataFrame({"doc_id": [r[0] for r in rows], "words": [r[1] for r in rows]})
+            rows = [(d, s, told) for d, t, told in zip(frame["doc_id"], frame["text"], frame["told"]) if t for s in sentence_words(t, folding)]
+            yield pd.DataFrame({"doc_id": [r[0] for r in rows], "words": [r[1] for r in rows], "told": [r[2] for r in rows]})
 
-    return documents.select("doc_id", "text").mapInPandas(cut_up, "doc_id long, words array<string>")
+    return texts.select("doc_id", "text", "told").mapInPandas(cut_up, "doc_id long, words array<string>, told array<string>")
 
 
 def _beats(hits: Column, n: Column, rate: Column) -> Column:
@@ -100,7 +99,7 @@ def patterns(baskets: DataFrame, subjects: list[str], longest: int, least: int =
     beyond `longest`, however long a transaction is.
     """
     ranks = baskets.select(F.explode("words").alias("word")).groupBy("word").count()
-    # the words that reach the support of a rule in at most LABELLED_DOCUMENTS documents
+    # a dictionary: the words that reach the support of a rule
     known = [r["word"] for r in ranks.filter(F.col("count") >= least).orderBy(F.desc("count"), "word").collect()]
     place = {w: i for i, w in enumerate(known)}
     classes = {s: i for i, s in enumerate(subjects)}
@@ -169,6 +168,48 @@ def mine(transactions: DataFrame, longest: int = LONGEST_RULE) -> DataFrame:
     return rules.select("words", "subject", "n", (F.col("freq") / F.col("n")).alias("confidence"))
 
 
+def pooled(blocks: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """(least margin, right, all) of the blocks that remain once neighbours are pooled until the share of right ones rises.
+
+    Blocks of parts of the margins pooled again give what pooling all at once gives.
+    """
+    out: list[tuple[float, int, int]] = []
+    for block in sorted(blocks):
+        out.append(block)
+        while len(out) > 1 and out[-2][1] * out[-1][2] >= out[-1][1] * out[-2][2]:
+            _, right, n = out.pop()
+            out[-1] = (out[-1][0], out[-1][1] + right, out[-1][2] + n)
+    return out
+
+
+def calibration(judged: DataFrame) -> tuple[list[tuple[float, int, int]], float]:
+    """(blocks, best) of all rows of `judged`(margin, right boolean): blocks pooled within ranges of the margin, and the
+    share of right rows among those not below the median margin. No task and no driver sees more than a range."""
+    alike = judged.groupBy("margin").agg(F.sum(F.col("right").cast("long")).alias("right"), F.count(F.lit(1)).alias("n"))
+    ranged = cut(alike.repartitionByRange("margin").withColumn("part", F.spark_partition_id()))
+
+    def pool(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [tuple(r) for frame in frames for r in frame.itertuples(index=False)]
+        yield pd.DataFrame([(*b, rows[0][3]) for b in pooled([r[:3] for r in rows])], columns=["margin", "right", "n", "part"])
+
+    found = [tuple(r) for r in ranged.mapInPandas(pool, "margin double, right long, n long, part int").collect()]
+    if not found:
+        return [], 1.0
+    sizes: Counter[int] = Counter()
+    for _, _, n, part in found:
+        sizes[part] += n
+    total = sum(sizes.values())
+    middle = []
+    for place in ((total - 1) // 2, total // 2):
+        part = next(p for p in sorted(sizes) if place < sum(n for q, n in sizes.items() if q <= p))
+        before = sum(n for q, n in sizes.items() if q < part)
+        run = F.sum("n").over(W.partitionBy("part").orderBy("margin"))
+        own = ranged.filter(F.col("part") == part).withColumn("run", run).filter(F.col("run") > place - before)
+        middle.append(own.agg(F.min("margin")).first()[0])
+    upper = ranged.filter(F.col("margin") >= sum(middle) / 2).agg(F.sum("right"), F.sum("n")).first()
+    return [b[:3] for b in found], upper[0] / upper[1]
+
+
 class Rules:
     """Rules as a lookup table, and the steps from evidence to the probability that a sentence treats its subject."""
 
@@ -202,20 +243,11 @@ class Rules:
         ahead = score[best] - (score[order[-2]] if len(order) > 1 else 0.0)
         return best, float(ahead), sum(bool(w[best] > 0) for w in found)
 
-    def calibrate(self, margins: list[float], right: list[bool]) -> None:
-        """Monotone steps from evidence to probability, by pooling adjacent violators."""
-        blocks: list[list[float]] = []
-        for m, r in sorted(zip(margins, right)):
-            blocks.append([m, float(r), 1.0])
-            while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-                last = blocks.pop()
-                blocks[-1][1] += last[1]
-                blocks[-1][2] += last[2]
+    def calibrate(self, blocks: list[tuple[float, int, int]], best: float) -> None:
+        """Monotone steps from evidence to probability; `best` is the share of right sentences of the surer half."""
         if blocks:
-            self.steps = [(-math.inf, 0.0)] + [(m, r / n) for m, r, n in blocks]
-            middle = float(np.median(margins))
-            upper = [r for m, r in zip(margins, right) if m >= middle]
-            self.best = sum(upper) / len(upper)
+            self.steps = [(-math.inf, 0.0)] + [(m, r / n) for m, r, n in pooled(blocks)]
+            self.best = best
 
     def threshold(self, at_least: float) -> float:
         """Smallest evidence whose calibrated probability reaches `at_least` of that of the surer half.
@@ -225,21 +257,17 @@ class Rules:
         return next((m for m, p in self.steps if p >= at_least * self.best), CLEAR)
 
 
-def fit(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_DOCUMENTS, longest: int = LONGEST_RULE) -> Rules | None:
-    """Rules of at most `longest` words from at most `limit` labelled documents; None without labels.
+def fit(documents: DataFrame, labels: DataFrame, longest: int = LONGEST_RULE) -> Rules | None:
+    """Rules of at most `longest` words from all sentences of all labelled documents; None without labels.
 
     Mined twice: first with the document's labels as classes of all its sentences, then with the subject that the
     first rules see in a sentence, as a page mixes subjects and labels may be wrong. Every fifth document is left
     out of the mining and used to calibrate.
     """
-    given = labels.filter("subject is not null and doc_id is not null").select("doc_id", "subject").distinct()
-    chosen = given.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    given = cut(given.join(F.broadcast(chosen), "doc_id"))
-    texts = documents.join(F.broadcast(given.select("doc_id").distinct()), "doc_id", "left_semi")
-    told = given.groupBy("doc_id").agg(F.collect_set("subject").alias("told"))
-    some = W.partitionBy("doc_id").orderBy(F.xxhash64("words"))
-    sample = sentences(texts).withColumn("_i", F.row_number().over(some)).filter(F.col("_i") <= SENTENCES_PER_DOCUMENT).drop("_i")
-    sample = cut(sample.join(F.broadcast(told), "doc_id"))
+    given = labels.filter("subject is not null and doc_id is not null").select("doc_id", "subject")
+    told = cut(given.groupBy("doc_id").agg(F.collect_set("subject").alias("told")))
+    texts = spread_join(documents.select("doc_id", "text"), told, "doc_id", LABELS_SENT).filter("told is not null")
+    sample = cut(sentences(texts))
     learn = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0)
     priors = {r[0]: r[1] for r in learn.select(F.explode("told").alias("s")).groupBy("s").count().collect()}
     if not priors:
@@ -252,13 +280,13 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_DOCUMENTS
     if n:
         rules = _collect(mine(seen.select("doc_id", "words", "subject"), longest), {s: c / n for s, c in priors.items()})
     held = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
-    judged = _seen(held, rules, raw=True).filter(F.col("subject") != _NONE).select("margin", F.array_contains("told", F.col("subject")).alias("right")).collect()
-    rules.calibrate([r[0] for r in judged], [r[1] for r in judged])
+    judged = _seen(held, rules, raw=True).filter(F.col("subject") != _NONE)
+    rules.calibrate(*calibration(judged.select("margin", F.array_contains("told", F.col("subject")).alias("right"))))
     return rules
 
 
 def _collect(rules: DataFrame, priors: dict[str, float]) -> Rules:
-    # bounded by the words of at most LABELLED_DOCUMENTS documents that reach the support of a rule
+    # the model, which every executor holds: a dictionary of the words that tell a subject, and of their pairs
     known = [tuple(r) for r in rules.select("words", "subject", "n", "confidence").collect() if r[1] in priors]
     return Rules(known, priors)
 

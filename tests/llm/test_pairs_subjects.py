@@ -186,6 +186,57 @@ def test_subjects(spark):
     assert subjects.assign(d.limit(0), rules).count() == 0
 
 
+def test_every_labelled_sentence_is_mined(spark):
+    """Forty sentences a page, each with a word of its own: the same ones would always be beyond the first 24."""
+    words = {s: [f"{s}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)] for s in ("law", "sport")}
+    docs = [(d, "\n".join(f"Some {w} again." for w in words[s])) for d in range(40) for s in [("law", "sport")[d % 2]]]
+    labels = spark.createDataFrame([(d, ("law", "sport")[d % 2]) for d, _ in docs], "doc_id long, subject string")
+    rules = subjects.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert set(words["law"] + words["sport"]) == {k for k in rules.weights if isinstance(k, str)}
+
+
+def test_every_labelled_document_is_mined(spark):
+    """20,500 labelled pages; the last 500 by the hash of their number are the only ones with some words."""
+    last = {r.id for r in spark.range(20_500).orderBy(F.xxhash64("id"), "id").tail(500)}
+    own = {"law": "leases tenants", "sport": "rowers medals"}
+    docs = []
+    for d in range(20_500):
+        s = ("law", "sport")[d % 2]
+        docs.append((d, f"The {s} {s}base {own[s] if d in last else ''}.", s))
+    df = spark.createDataFrame(docs, "doc_id long, text string, subject string").repartition(8)
+    rules = subjects.fit(df.select("doc_id", "text"), df.select("doc_id", "subject"))
+    assert {"leases", "tenants", "rowers", "medals"} <= set(rules.weights)
+
+
+def test_labels_joined_by_shuffle_give_the_same(spark, monkeypatch):
+    rng = np.random.RandomState(8)
+    docs = [(i, page(rng, [(["law", "sport", "food"][i % 3], 5)])) for i in range(90)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, ["law", "sport", "food"][i % 3]) for i, _ in docs], "doc_id long, subject string")
+    sent = subjects.fit(d, labels)
+    monkeypatch.setattr(subjects, "LABELS_SENT", 5)
+    shuffled = subjects.fit(d, labels)
+    assert sent.steps == shuffled.steps and sent.best == shuffled.best and sent.weights.keys() == shuffled.weights.keys()
+    assert all((sent.weights[k] == shuffled.weights[k]).all() for k in sent.weights)
+
+
+def test_calibration_equals_all_at_once(spark):
+    rng = np.random.RandomState(12)
+    for n, ties in ((600, 30), (101, 4), (1, 1)):
+        m = np.round(rng.uniform(size=n) * ties) / 7
+        right = rng.uniform(size=n) < 0.3 + 0.6 * m / (m.max() + 1)
+        df = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(m, right)], "margin double, right boolean").repartition(7)
+        blocks, best = subjects.calibration(df)
+        assert best == pytest.approx(right[m >= np.median(m)].mean())
+        want = {v: right[m == v].mean() for v in set(m)}
+        size = {v: (m == v).sum() for v in want}
+        keys = sorted(want)
+        fitted = [max(min(np.average([want[v] for v in keys[i : j + 1]], weights=[size[v] for v in keys[i : j + 1]]) for j in range(k, len(keys))) for i in range(k + 1)) for k in range(len(keys))]
+        steps = subjects.pooled(blocks)
+        assert [next(r / a for b, r, a in reversed(steps) if b <= v) for v in keys] == pytest.approx(fitted)
+    assert subjects.calibration(df.limit(0)) == ([], 1.0)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
